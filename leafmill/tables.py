@@ -24,3 +24,11 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     if not base:
         base = os.path.join(tempfile.gettempdir(), "leafmill-shared")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of `df`, computed once and kept in the shared folder, where the loss of an executor leaves them."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoint"))
+    return df.checkpoint(eager=True)
