@@ -20,6 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from leafmill.tables import cut
+
 WORD = re.compile(r"[^ \t\r\n]+")
 EPS = 1e-9
 
@@ -257,8 +259,9 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, rows: int, blo
     pairs = partial.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.sum("c").alias("c"))
     most = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     pairs = pairs.where(most * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - EPS).select("a", "b")
+    pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    grams = classes.join(wanted, "rep", "left_semi").select("rep", "text").mapInArrow(p.grams, "rep long, g binary")
+    grams = texts.withColumnRenamed("id", "rep").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(p.grams, "rep long, g binary")
     both = pairs.join(grams.select(F.col("rep").alias("a"), F.col("g").alias("ga")), "a").join(grams.select(F.col("rep").alias("b"), F.col("g").alias("gb")), "b")
     return both.select("a", "b", "ga", "gb").mapInArrow(p.compare, "a long, b long, similarity double")
 
