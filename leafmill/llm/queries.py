@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from leafmill.llm.encoding import restore_encoding
 from leafmill.llm.near_dup import near_duplicate_pairs
 from leafmill.llm.split import split_oversized
 from leafmill.llm.vector_knn import nearest_vectors
@@ -20,6 +21,14 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.dropDuplicates(["node_no", "piece"])
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return restore_encoding(table(spark, sf, "text_nodes")).where("garbled").select("node_no").distinct()
+
+
+def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return restore_encoding(table(spark, sf, "text_nodes")).where("garbled").dropDuplicates(["node_no"]).select("node_no", "restored")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf, "text_nodes")).select("node_a", "node_b")
 
@@ -29,7 +38,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p6_found": p6_found}
 
 SQL = {
     "p2_found": """
