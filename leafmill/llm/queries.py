@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmill.llm.encoding import restore_encoding
+from leafmill.llm.markup import strip_markup
 from leafmill.llm.near_dup import near_duplicate_pairs
 from leafmill.llm.split import split_oversized
 from leafmill.llm.vector_knn import nearest_vectors
 from leafmill.tables import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return strip_markup(table(spark, sf, "text_nodes")).where("pieces > 0").select("node_no").distinct()
+
+
+def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return strip_markup(table(spark, sf, "text_nodes")).where("pieces > 0").dropDuplicates(["node_no"])
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     pieces = split_oversized(table(spark, sf, "text_nodes"))
     return pieces.where("pieces > 1").select("node_no").distinct()
@@ -38,7 +47,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p6_found": p6_found}
 
 SQL = {
     "p2_found": """
