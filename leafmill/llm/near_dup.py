@@ -8,7 +8,9 @@ that their remaining n-grams can add stays below the bound are discarded. An exa
 Steps: (A) every text block sends each distinct n-gram once, with a count, to the n-gram's bucket; (B) buckets add up
 document frequencies and answer every block; (C) blocks order the n-grams of each text rare-first and post those of
 its prefix; frequent n-grams are spread over tiles of documents; (D) tiles accumulate overlaps of pairs; (E) partial
-overlaps are summed and bounded; (F) survivors are compared exactly. Any total order of n-grams gives the same result.
+overlaps are summed and bounded: what the prefixes do not show is at most what lies behind the prefix that ends first;
+(F) the blocks send the n-grams of the survivors, which are compared exactly. Any total order of n-grams gives the same
+result.
 """
 
 from __future__ import annotations
@@ -20,8 +22,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from leafmill.tables import cut
-
 WORD = re.compile(r"[^ \t\r\n]+")
 EPS = 1e-9
 
@@ -146,7 +146,8 @@ class _Product:
         doc, g, df, pos = doc[keep], g[keep], df[keep], pos[keep]
         tiles = -(-df // self.tile)
         rec = np.zeros(len(doc), dtype=POSTING)
-        rec["key"], rec["doc"], rec["n"], rec["pos"], rec["side"] = g, reps[doc], n[doc], pos, 2
+        rec["key"], rec["doc"], rec["n"], rec["side"] = g, reps[doc], n[doc], 2
+        rec["block"], rec["before"], rec["behind"] = block["block"][0].as_py(), pos - single[doc], n[doc] - pos - 1
         plain = [rec[tiles == 1]]
         if (tiles > 1).any():
             hot, k = rec[tiles > 1], tiles[tiles > 1]
@@ -169,7 +170,7 @@ class _Product:
         """Step D: overlaps of the pairs of a bucket, for each of its n-grams or tiles."""
         r = np.concatenate([np.frombuffer(x, POSTING) for x in _bytes(rows["rows"])])
         r = r[np.argsort(r["key"], kind="stable")]
-        key, doc, n, pos, side = (r[c].copy() for c in ("key", "doc", "n", "pos", "side"))
+        key, doc, n, block, before, behind, side = (r[c].copy() for c in POSTING.names)
         found, held = [], 0
         i = np.arange(len(r) - 1)
         for o in range(1, len(r)):
@@ -179,13 +180,14 @@ class _Product:
                 break
             j = i + o
             need = self.need(n[i], n[j])
-            m = (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need) & (np.minimum(n[i], n[j]) >= need) & (doc[i] != doc[j]) & ((side[i] == 2) | (side[i] != side[j]))
+            most = 1 + np.minimum(before[i], before[j]) + np.minimum(behind[i], behind[j])
+            m = (most >= need) & (np.minimum(n[i], n[j]) >= need) & (doc[i] != doc[j]) & ((side[i] == 2) | (side[i] != side[j]))
             if m.any():
                 a, b = i[m], j[m]
                 flip = doc[a] > doc[b]
                 a, b = np.where(flip, b, a), np.where(flip, a, b)
                 p = np.zeros(len(a), dtype=PAIR)
-                p["a"], p["b"], p["na"], p["nb"], p["pa"], p["pb"], p["c"] = doc[a], doc[b], n[a], n[b], pos[a], pos[b], 1
+                p["a"], p["b"], p["na"], p["nb"], p["ba"], p["bb"], p["c"] = doc[a], doc[b], n[a], n[b], block[a], block[b], 1
                 found.append(p)
                 held += len(p)
                 if held > 1_000_000:
@@ -194,41 +196,49 @@ class _Product:
         p = _add(found) if found else np.zeros(0, PAIR)
         return pa.table({c: pa.array(np.ascontiguousarray(p[c])) for c in PAIR.names})
 
-    def compare(self, batches):
-        """Step F."""
-        for x in batches:
-            keep, sims = [], []
-            for k, (a, b) in enumerate(zip(_bytes(x["ga"]), _bytes(x["gb"]))):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = np.concatenate([a, b])
-                both.sort()
-                o = int((both[1:] == both[:-1]).sum())
-                s = o / (len(a) + len(b) - o)
-                if s >= self.t - EPS:
-                    keep.append(k)
-                    sims.append(s)
-            y = x.take(pa.array(keep, pa.int64()))
-            yield pa.record_batch({"a": y["a"], "b": y["b"], "similarity": pa.array(sims, pa.float64())})
-
-    def grams(self, batches):
-        for x in batches:
-            texts = x["text"].to_pylist()
-            _, g, n = incidence(texts, self.width)
-            at = np.concatenate([[0], np.cumsum(n)])
-            yield pa.record_batch({"rep": x["rep"], "g": pa.array([g[at[k] : at[k + 1]].tobytes() for k in range(len(texts))], pa.binary())})
-
-
-POSTING = np.dtype([("key", np.uint64), ("doc", np.int64), ("n", np.int32), ("pos", np.int32), ("side", np.int8)])
-PAIR = np.dtype([("a", np.int64), ("b", np.int64), ("na", np.int32), ("nb", np.int32), ("pa", np.int32), ("pb", np.int32), ("c", np.int32)])
+    def bring(self, block: pa.Table, asked: pa.Table) -> pa.Table:
+        """Step F, in a block: the n-grams of one side of each surviving pair."""
+        if not block.num_rows or not asked.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "g": pa.array([], pa.binary())})
+        texts = block["text"].to_pylist()
+        at = {r: k for k, r in enumerate(block["rep"].to_pylist())}
+        rows = [at[r] for r in asked["rep"].to_pylist()]
+        own = sorted(set(rows))
+        _, g, n = incidence([texts[k] for k in own], self.width)
+        ends = np.cumsum(n)
+        part = {k: g[e - m : e].tobytes() for k, e, m in zip(own, ends.tolist(), n.tolist())}
+        return pa.table({"a": asked["a"], "b": asked["b"], "g": pa.array([part[k] for k in rows], pa.binary())})
+
+    def compare(self, rows: pa.Table) -> pa.Table:
+        """Step F: two rows for each pair."""
+        first, out = {}, ([], [], [])
+        for a, b, g in zip(rows["a"].to_pylist(), rows["b"].to_pylist(), _bytes(rows["g"])):
+            other = first.pop((a, b), None)
+            if other is None:
+                first[a, b] = g
+                continue
+            x, y = np.frombuffer(other, np.uint64), np.frombuffer(g, np.uint64)
+            both = np.concatenate([x, y])
+            both.sort()
+            o = int((both[1:] == both[:-1]).sum())
+            s = o / (len(x) + len(y) - o)
+            if s >= self.t - EPS:
+                for c, v in zip(out, (a, b, s)):
+                    c.append(v)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
+
+
+POSTING = np.dtype([("key", np.uint64), ("doc", np.int64), ("n", np.int32), ("block", np.int32), ("before", np.int32), ("behind", np.int32), ("side", np.int8)])
+PAIR = np.dtype([("a", np.int64), ("b", np.int64), ("na", np.int32), ("nb", np.int32), ("ba", np.int32), ("bb", np.int32), ("c", np.int32)])
 
 
 def _add(found: list[np.ndarray]) -> np.ndarray:
-    """One row a pair: overlaps added, the last positions kept."""
+    """One row a pair, overlaps added."""
     p = np.concatenate(found)
     p = p[np.lexsort((p["b"], p["a"]))]
     start = np.flatnonzero(np.concatenate([[True], (p["a"][1:] != p["a"][:-1]) | (p["b"][1:] != p["b"][:-1])]))
     q = p[start].copy()
-    q["c"], q["pa"], q["pb"] = np.add.reduceat(p["c"], start), np.maximum.reduceat(p["pa"], start), np.maximum.reduceat(p["pb"], start)
+    q["c"] = np.add.reduceat(p["c"], start)
     return q
 
 
@@ -255,15 +265,14 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, rows: int, blo
     counts = blocked.groupBy("block").applyInArrow(lambda x: p.count(x), "bucket int, block int, g binary, n binary")
     answers = counts.groupBy("bucket").applyInArrow(lambda x: p.frequency(x), "block int, g binary, n binary")
     postings = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: p.post(x, y), "bucket int, rows binary")
-    partial = postings.groupBy("bucket").applyInArrow(lambda x: p.multiply(x), "a long, b long, na int, nb int, pa int, pb int, c int")
-    pairs = partial.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.sum("c").alias("c"))
-    most = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    pairs = pairs.where(most * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - EPS).select("a", "b")
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    grams = texts.withColumnRenamed("id", "rep").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(p.grams, "rep long, g binary")
-    both = pairs.join(grams.select(F.col("rep").alias("a"), F.col("g").alias("ga")), "a").join(grams.select(F.col("rep").alias("b"), F.col("g").alias("gb")), "b")
-    return both.select("a", "b", "ga", "gb").mapInArrow(p.compare, "a long, b long, similarity double")
+    partial = postings.groupBy("bucket").applyInArrow(lambda x: p.multiply(x), "a long, b long, na int, nb int, ba int, bb int, c int")
+    pairs = partial.groupBy("a", "b", "na", "nb", "ba", "bb").agg(F.sum("c").alias("c"))
+    unseen = F.ceil(threshold * F.greatest("na", "nb") - EPS) - 1
+    pairs = pairs.where((F.col("c") + unseen) * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - EPS)
+    sides = F.explode(F.array(F.struct(F.col("ba").alias("block"), F.col("a").alias("rep")), F.struct(F.col("bb").alias("block"), F.col("b").alias("rep"))))
+    asked = pairs.select("a", "b", sides.alias("s")).select("a", "b", "s.block", "s.rep")
+    grams = blocked.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda x, y: p.bring(x, y), "a long, b long, g binary")
+    return grams.groupBy(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)).alias("part")).applyInArrow(lambda x: p.compare(x), "a long, b long, similarity double")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "node_no", text_col: str = "text", width: int = 3, threshold: float = 0.5, min_words: int = 40, rows: int | None = None) -> DataFrame:
