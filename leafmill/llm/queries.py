@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from leafmill.llm.encoding import restore_encoding
 from leafmill.llm.markup import strip_markup
 from leafmill.llm.near_dup import near_duplicate_pairs
+from leafmill.llm.scan_noise import repair_scans
 from leafmill.llm.split import split_oversized
 from leafmill.llm.vector_knn import nearest_vectors
 from leafmill.tables import table
@@ -47,7 +48,15 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_scans(table(spark, sf, "text_nodes")).where("furniture + joined + confusions > 0").select("node_no").distinct()
+
+
+def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_scans(table(spark, sf, "text_nodes")).dropDuplicates(["node_no"])
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired}
 
 SQL = {
     "p2_found": """
