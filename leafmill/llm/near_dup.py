@@ -80,19 +80,22 @@ def _bytes(column) -> list:
 class _Product:
     """The settings and the steps that run on executors."""
 
-    def __init__(self, width: int, threshold: float, blocks: int, buckets: int, tile: int):
-        self.width, self.t, self.blocks, self.buckets, self.tile = width, threshold, blocks, buckets, tile
+    def __init__(self, width: int, threshold: float, buckets: int, tile: int, slack: float):
+        self.width, self.t, self.buckets, self.tile, self.slack = width, threshold, buckets, tile, slack
 
     def need(self, na, nb):
         return np.ceil(self.t / (1 + self.t) * (na + nb) - EPS)
 
-    def count(self, block: pa.Table) -> pa.Table:
-        """Step A."""
-        _, g, _ = incidence(block["text"].to_pylist(), self.width)
+    def _distinct(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams of a block in the order of their buckets, their counts and the buckets' bounds."""
         g, n = np.unique(g, return_counts=True)
         order, at = _cut(_bucket(g, self.buckets), self.buckets)
-        g, n = g[order], n[order].astype(np.uint32)
-        full = [k for k in range(self.buckets) if at[k + 1] > at[k]]
+        return g[order], n[order], at
+
+    def count(self, block: pa.Table) -> pa.Table:
+        """Step A."""
+        g, n, at = self._distinct(incidence(block["text"].to_pylist(), self.width)[1])
+        n, full = n.astype(np.uint32), [k for k in range(self.buckets) if at[k + 1] > at[k]]
         own = block["block"][0].as_py()
         return pa.table({
             "bucket": pa.array(full, pa.int32()), "block": pa.array([own] * len(full), pa.int32()),
@@ -101,40 +104,32 @@ class _Product:
         })
 
     def frequency(self, rows: pa.Table) -> pa.Table:
-        """Step B: answers with the n-grams that more than one text has."""
+        """Step B: answers with the number of texts that have each n-gram, in the order in which the block sent them."""
         parts = [np.frombuffer(x, np.uint64) for x in _bytes(rows["g"])]
         g = np.concatenate(parts)
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in _bytes(rows["n"])]).astype(np.int64)
         order = np.argsort(g, kind="stable")
         s = g[order]
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        sums = np.add.reduceat(n[order], start)
         df = np.empty(len(g), np.int64)
-        df[order] = np.repeat(sums, np.diff(np.append(start, len(s))))
-        block, out_g, out_n, at = rows["block"].to_pylist(), [], [], 0
-        for p in parts:
-            d = df[at : at + len(p)]
-            at += len(p)
-            keep = d > 1
-            out_g.append(p[keep].tobytes())
-            out_n.append(np.minimum(d[keep], 2**32 - 1).astype(np.uint32).tobytes())
-        return pa.table({"block": pa.array(block, pa.int32()), "g": pa.array(out_g, pa.binary()), "n": pa.array(out_n, pa.binary())})
+        df[order] = np.repeat(np.add.reduceat(n[order], start), np.diff(np.append(start, len(s))))
+        df = np.minimum(df, 2**32 - 1).astype(np.uint32)
+        ends = np.cumsum([len(p) for p in parts])
+        return pa.table({"bucket": rows["bucket"], "block": rows["block"], "n": pa.array([df[e - len(p) : e].tobytes() for p, e in zip(parts, ends)], pa.binary())})
 
     def post(self, block: pa.Table, answers: pa.Table) -> pa.Table:
         """Step C."""
-        empty = pa.table({"bucket": pa.array([], pa.int32()), "rows": pa.array([], pa.binary())})
+        empty = pa.table({"bucket": pa.array([], pa.int32()), "docs": pa.array([], pa.binary()), "rows": pa.array([], pa.binary())})
         if not block.num_rows or not answers.num_rows:
             return empty
-        known = np.concatenate([np.frombuffer(x, np.uint64) for x in _bytes(answers["g"])])
-        if not len(known):
-            return empty
-        often = np.concatenate([np.frombuffer(x, np.uint32) for x in _bytes(answers["n"])]).astype(np.int64)
-        order = np.argsort(known)
-        known, often = known[order], often[order]
         reps = np.array(block["rep"].to_pylist(), dtype=np.int64)
         doc, g, n = incidence(block["text"].to_pylist(), self.width)
-        at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-        df = np.where(known[at] == g, often[at], 1)
+        known, _, at = self._distinct(g)
+        often = np.zeros(len(known), np.int64)
+        for k, x in zip(answers["bucket"].to_pylist(), _bytes(answers["n"])):
+            often[at[k] : at[k + 1]] = np.frombuffer(x, np.uint32)
+        order = np.argsort(known)
+        df = often[order][np.searchsorted(known[order], g)]
         shared = df > 1
         single = n - np.bincount(doc[shared], minlength=len(n))
         doc, g, df = doc[shared], g[shared], df[shared]
@@ -142,16 +137,15 @@ class _Product:
         doc, g, df = doc[order], g[order], df[order]
         start = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))])
         pos = np.arange(len(doc)) - start[doc] + single[doc]
-        keep = pos < n[doc] - np.ceil(self.t * n[doc] - EPS) + 1
+        keep = pos < self.posted(n[doc])
         doc, g, df, pos = doc[keep], g[keep], df[keep], pos[keep]
         tiles = -(-df // self.tile)
         rec = np.zeros(len(doc), dtype=POSTING)
-        rec["key"], rec["doc"], rec["n"], rec["side"] = g, reps[doc], n[doc], 2
-        rec["block"], rec["before"], rec["behind"] = block["block"][0].as_py(), pos - single[doc], n[doc] - pos - 1
-        plain = [rec[tiles == 1]]
+        rec["key"], rec["doc"], rec["pos"], rec["side"] = g, doc, pos, 2
+        out = [rec[tiles == 1]]
         if (tiles > 1).any():
             hot, k = rec[tiles > 1], tiles[tiles > 1]
-            own = (_mix(hot["doc"].astype(np.uint64)) % k.astype(np.uint64)).astype(np.int64)
+            own = (_mix(reps[hot["doc"]].astype(np.uint64)) % k.astype(np.uint64)).astype(np.int64)
             for j in range(int(k.max())):
                 m = j < k
                 part, o = hot[m].copy(), own[m]
@@ -159,18 +153,50 @@ class _Product:
                 part["side"] = np.where(lo == hi, 2, (o > j).astype(np.int64))
                 with np.errstate(over="ignore"):
                     part["key"] = _mix(part["key"] + (lo * 1_000_003 + hi + 1).astype(np.uint64))
-                plain.append(part)
-        rec = np.concatenate(plain)
+                out.append(part)
+        rec = np.concatenate(out)
         order, at = _cut(_bucket(rec["key"], self.buckets), self.buckets)
-        rec = rec[order]
-        full = [k for k in range(self.buckets) if at[k + 1] > at[k]]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "rows": pa.array([rec[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())})
+        rec, full, docs, rows = rec[order], [], [], []
+        info = np.zeros(len(n), DOC)
+        info["doc"], info["n"], info["single"], info["block"] = reps, n, single, block["block"][0].as_py()
+        for k in range(self.buckets):
+            if at[k + 1] > at[k]:
+                r = rec[at[k] : at[k + 1]].copy()
+                own, r["doc"] = np.unique(r["doc"], return_inverse=True)
+                full.append(k)
+                docs.append(info[own].tobytes())
+                rows.append(b"".join(np.ascontiguousarray(r[c]).tobytes() for c in POSTING.names))
+        return pa.table({"bucket": pa.array(full, pa.int32()), "docs": pa.array(docs, pa.binary()), "rows": pa.array(rows, pa.binary())})
+
+    def posted(self, n):
+        """How many of a text's n-grams, rarest first, a text at the threshold must share one of."""
+        return n - np.ceil(self.t * n - EPS) + 1
+
+    def reach(self, n, other, need):
+        """How many of a text's n-grams count for a pair: `slack` more than needed for one to be shared."""
+        return np.minimum(self.posted(n), n - need + 1 + np.ceil(self.slack * np.minimum(n, other)))
 
     def multiply(self, rows: pa.Table) -> pa.Table:
         """Step D: overlaps of the pairs of a bucket, for each of its n-grams or tiles."""
-        r = np.concatenate([np.frombuffer(x, POSTING) for x in _bytes(rows["rows"])])
+        docs, recs, at = [], [], 0
+        for d, x in zip(_bytes(rows["docs"]), _bytes(rows["rows"])):
+            d = np.frombuffer(d, DOC)
+            r = np.zeros(len(x) // POSTING.itemsize, POSTING)
+            o = 0
+            for c in POSTING.names:
+                size = POSTING[c].itemsize * len(r)
+                r[c] = np.frombuffer(x, POSTING[c], len(r), o)
+                o += size
+            r["doc"] += at
+            at += len(d)
+            docs.append(d)
+            recs.append(r)
+        r, d = np.concatenate(recs), np.concatenate(docs)
         r = r[np.argsort(r["key"], kind="stable")]
-        key, doc, n, block, before, behind, side = (r[c].copy() for c in POSTING.names)
+        key, pos, side, own = r["key"].copy(), r["pos"].astype(np.int64), r["side"].copy(), r["doc"].astype(np.int64)
+        doc, n, block, single = (d[c][own] for c in ("doc", "n", "block", "single"))
+        n = n.astype(np.int64)
+        before, behind = pos - single, n - pos - 1
         found, held = [], 0
         i = np.arange(len(r) - 1)
         for o in range(1, len(r)):
@@ -182,6 +208,7 @@ class _Product:
             need = self.need(n[i], n[j])
             most = 1 + np.minimum(before[i], before[j]) + np.minimum(behind[i], behind[j])
             m = (most >= need) & (np.minimum(n[i], n[j]) >= need) & (doc[i] != doc[j]) & ((side[i] == 2) | (side[i] != side[j]))
+            m &= (pos[i] < self.reach(n[i], n[j], need)) & (pos[j] < self.reach(n[j], n[i], need))
             if m.any():
                 a, b = i[m], j[m]
                 flip = doc[a] > doc[b]
@@ -228,7 +255,8 @@ class _Product:
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
 
 
-POSTING = np.dtype([("key", np.uint64), ("doc", np.int64), ("n", np.int32), ("block", np.int32), ("before", np.int32), ("behind", np.int32), ("side", np.int8)])
+POSTING = np.dtype([("key", np.uint64), ("doc", np.int32), ("pos", np.int32), ("side", np.int8)])
+DOC = np.dtype([("doc", np.int64), ("n", np.int32), ("single", np.int32), ("block", np.int32)])
 PAIR = np.dtype([("a", np.int64), ("b", np.int64), ("na", np.int32), ("nb", np.int32), ("ba", np.int32), ("bb", np.int32), ("c", np.int32)])
 
 
@@ -242,6 +270,15 @@ def _add(found: list[np.ndarray]) -> np.ndarray:
     return q
 
 
+def _may_reach(t: float, slack: float):
+    """Whether the overlap seen, and what lies behind the counted n-grams of the text that ends first, can be enough."""
+    na, nb = F.col("na"), F.col("nb")
+    need = F.ceil(t / (1 + t) * (na + nb) - EPS)
+    more = 1 + F.ceil(slack * F.least(na, nb))
+    behind = [n - F.least(n - F.ceil(t * n - EPS) + 1, n - need + more) for n in (na, nb)]
+    return F.col("c") + F.greatest(*behind) >= need
+
+
 def eligible(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """Rows (id, text) of at least `min_words` words; null ids and texts never take part."""
     words = F.size(F.filter(F.split(F.col(text_col), "[ \t\r\n]+"), lambda w: w != ""))
@@ -255,20 +292,20 @@ def members(texts: DataFrame) -> DataFrame:
     return keyed.join(reps, ["h1", "h2"]).select("id", "rep")
 
 
-def similar_texts(texts: DataFrame, width: int, threshold: float, rows: int, block_rows: int = 2048, tile: int = 1024) -> DataFrame:
+def similar_texts(texts: DataFrame, width: int, threshold: float, rows: int, block_rows: int = 2048, tile: int = 1024, slack: float = 0.06) -> DataFrame:
     """(a, b, similarity) for all pairs of different texts whose similarity is at least the threshold; a < b are the
-    smallest ids of their texts. texts: (id, text). rows: about how many rows there are; it only sizes the blocks."""
+    smallest ids of their texts. texts: (id, text). rows: about how many rows there are; it only sizes the blocks. slack:
+    share of the n-grams that are counted beyond the least; more posts more and leaves fewer pairs to compare."""
     blocks = max(4, -(-rows // block_rows))
-    p = _Product(width, threshold, blocks, min(blocks, 4096), tile)
+    p = _Product(width, threshold, max(4, min(blocks // 4, 4096)), tile, slack)
     classes = texts.groupBy("text").agg(F.min("id").alias("rep"))
     blocked = classes.select("rep", "text", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("block"))
     counts = blocked.groupBy("block").applyInArrow(lambda x: p.count(x), "bucket int, block int, g binary, n binary")
-    answers = counts.groupBy("bucket").applyInArrow(lambda x: p.frequency(x), "block int, g binary, n binary")
-    postings = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: p.post(x, y), "bucket int, rows binary")
+    answers = counts.groupBy("bucket").applyInArrow(lambda x: p.frequency(x), "bucket int, block int, n binary")
+    postings = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: p.post(x, y), "bucket int, docs binary, rows binary")
     partial = postings.groupBy("bucket").applyInArrow(lambda x: p.multiply(x), "a long, b long, na int, nb int, ba int, bb int, c int")
     pairs = partial.groupBy("a", "b", "na", "nb", "ba", "bb").agg(F.sum("c").alias("c"))
-    unseen = F.ceil(threshold * F.greatest("na", "nb") - EPS) - 1
-    pairs = pairs.where((F.col("c") + unseen) * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - EPS)
+    pairs = pairs.where(_may_reach(threshold, slack))
     sides = F.explode(F.array(F.struct(F.col("ba").alias("block"), F.col("a").alias("rep")), F.struct(F.col("bb").alias("block"), F.col("b").alias("rep"))))
     asked = pairs.select("a", "b", sides.alias("s")).select("a", "b", "s.block", "s.rep")
     grams = blocked.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda x, y: p.bring(x, y), "a long, b long, g binary")
