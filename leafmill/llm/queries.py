@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from leafmill.llm.canonical import canonical_texts, look_alike_pairs
 from leafmill.llm.encoding import restore_encoding
 from leafmill.llm.markup import strip_markup
+from leafmill.llm.mixing import mix, report
 from leafmill.llm.near_dup import near_duplicate_pairs
+from leafmill.llm.packing import fill, pack_items
 from leafmill.llm.scan_noise import repair_scans
 from leafmill.llm.split import split_oversized
+from leafmill.llm.tokens import token_sizes
 from leafmill.llm.vector_knn import nearest_vectors
-from leafmill.tables import table
+from leafmill.tables import cut, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +60,46 @@ def p7_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return repair_scans(table(spark, sf, "text_nodes")).dropDuplicates(["node_no"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired}
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return token_sizes(table(spark, sf, "documents"), "doc_id", "source").withColumnRenamed("doc_id", "id")
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    capacities = [(r["pack_id"], r["capacity_tokens"]) for r in table(spark, sf, "pack_sizes").orderBy("pack_id").limit(1000).collect()]
+    return pack_items(_sizes(spark, sf).drop("source"), capacities, table(spark, sf, "documents").count())
+
+
+def p8_packs(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill(_packed(spark, sf))
+
+
+def _mixed(spark: SparkSession, sf: str):
+    sizes = cut(_sizes(spark, sf).dropDuplicates(["id"]))
+    return mix(sizes, table(spark, sf, "mix_targets"), table(spark, sf, "documents").count())
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    mixed, shares = _mixed(spark, sf)
+    return report(mixed, table(spark, sf, "mix_targets"), shares)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return look_alike_pairs(table(spark, sf, "documents")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+def p10_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical_texts(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "canonical")
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_packs": p8_packs, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
 
 SQL = {
     "p2_found": """
