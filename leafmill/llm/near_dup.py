@@ -63,10 +63,11 @@ def incidence(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.
     return doc, g, np.bincount(doc, minlength=len(texts))
 
 
-def _cut(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by key and the bounds of each key's range in it."""
-    order = np.argsort(key.astype(np.uint32), kind="stable")
-    return order, np.searchsorted(key[order], np.arange(parts + 1))
+def _cut(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by key, the keys that occur and the bounds of their ranges in that order."""
+    order = np.argsort(key, kind="stable")
+    keys, first = np.unique(key[order], return_index=True)
+    return order, keys, np.append(first, len(key))
 
 
 def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
@@ -86,21 +87,21 @@ class _Product:
     def need(self, na, nb):
         return np.ceil(self.t / (1 + self.t) * (na + nb) - EPS)
 
-    def _distinct(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct n-grams of a block in the order of their buckets, their counts and the buckets' bounds."""
+    def _distinct(self, g: np.ndarray):
+        """The distinct n-grams of a block in the order of their buckets, their counts, the buckets and their bounds."""
         g, n = np.unique(g, return_counts=True)
-        order, at = _cut(_bucket(g, self.buckets), self.buckets)
-        return g[order], n[order], at
+        order, buckets, at = _cut(_bucket(g, self.buckets))
+        return g[order], n[order], buckets, at
 
     def count(self, block: pa.Table) -> pa.Table:
         """Step A."""
-        g, n, at = self._distinct(incidence(block["text"].to_pylist(), self.width)[1])
-        n, full = n.astype(np.uint32), [k for k in range(self.buckets) if at[k + 1] > at[k]]
+        g, n, buckets, at = self._distinct(incidence(block["text"].to_pylist(), self.width)[1])
+        n, parts = n.astype(np.uint32), range(len(buckets))
         own = block["block"][0].as_py()
         return pa.table({
-            "bucket": pa.array(full, pa.int32()), "block": pa.array([own] * len(full), pa.int32()),
-            "g": pa.array([g[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()),
-            "n": pa.array([n[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()),
+            "bucket": pa.array(buckets, pa.int32()), "block": pa.array([own] * len(buckets), pa.int32()),
+            "g": pa.array([g[at[k] : at[k + 1]].tobytes() for k in parts], pa.binary()),
+            "n": pa.array([n[at[k] : at[k + 1]].tobytes() for k in parts], pa.binary()),
         })
 
     def frequency(self, rows: pa.Table) -> pa.Table:
@@ -124,9 +125,10 @@ class _Product:
             return empty
         reps = np.array(block["rep"].to_pylist(), dtype=np.int64)
         doc, g, n = incidence(block["text"].to_pylist(), self.width)
-        known, _, at = self._distinct(g)
-        often = np.zeros(len(known), np.int64)
-        for k, x in zip(answers["bucket"].to_pylist(), _bytes(answers["n"])):
+        known, _, buckets, at = self._distinct(g)
+        often, place = np.zeros(len(known), np.int64), {b: k for k, b in enumerate(buckets.tolist())}
+        for b, x in zip(answers["bucket"].to_pylist(), _bytes(answers["n"])):
+            k = place[b]
             often[at[k] : at[k + 1]] = np.frombuffer(x, np.uint32)
         order = np.argsort(known)
         df = often[order][np.searchsorted(known[order], g)]
@@ -155,18 +157,16 @@ class _Product:
                     part["key"] = _mix(part["key"] + (lo * 1_000_003 + hi + 1).astype(np.uint64))
                 out.append(part)
         rec = np.concatenate(out)
-        order, at = _cut(_bucket(rec["key"], self.buckets), self.buckets)
-        rec, full, docs, rows = rec[order], [], [], []
+        order, buckets, at = _cut(_bucket(rec["key"], self.buckets))
+        rec, docs, rows = rec[order], [], []
         info = np.zeros(len(n), DOC)
         info["doc"], info["n"], info["single"], info["block"] = reps, n, single, block["block"][0].as_py()
-        for k in range(self.buckets):
-            if at[k + 1] > at[k]:
-                r = rec[at[k] : at[k + 1]].copy()
-                own, r["doc"] = np.unique(r["doc"], return_inverse=True)
-                full.append(k)
-                docs.append(info[own].tobytes())
-                rows.append(b"".join(np.ascontiguousarray(r[c]).tobytes() for c in POSTING.names))
-        return pa.table({"bucket": pa.array(full, pa.int32()), "docs": pa.array(docs, pa.binary()), "rows": pa.array(rows, pa.binary())})
+        for k in range(len(buckets)):
+            r = rec[at[k] : at[k + 1]].copy()
+            own, r["doc"] = np.unique(r["doc"], return_inverse=True)
+            docs.append(info[own].tobytes())
+            rows.append(b"".join(np.ascontiguousarray(r[c]).tobytes() for c in POSTING.names))
+        return pa.table({"bucket": pa.array(buckets, pa.int32()), "docs": pa.array(docs, pa.binary()), "rows": pa.array(rows, pa.binary())})
 
     def posted(self, n):
         """How many of a text's n-grams, rarest first, a text at the threshold must share one of."""
@@ -297,7 +297,7 @@ def similar_texts(texts: DataFrame, width: int, threshold: float, rows: int, blo
     smallest ids of their texts. texts: (id, text). rows: about how many rows there are; it only sizes the blocks. slack:
     share of the n-grams that are counted beyond the least; more posts more and leaves fewer pairs to compare."""
     blocks = max(4, -(-rows // block_rows))
-    p = _Product(width, threshold, max(4, min(blocks // 4, 4096)), tile, slack)
+    p = _Product(width, threshold, max(4, blocks // 4), tile, slack)
     classes = texts.groupBy("text").agg(F.min("id").alias("rep"))
     blocked = classes.select("rep", "text", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("block"))
     counts = blocked.groupBy("block").applyInArrow(lambda x: p.count(x), "bucket int, block int, g binary, n binary")
