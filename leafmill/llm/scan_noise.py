@@ -30,7 +30,17 @@ WITH_NUMBER = re.compile(r"^\S.{1,70}?\s{3,}[0-9lIoOsSgiz]{1,4}$|^\d{1,4}\s{3,}\
 NUMBERED = re.compile(rf"^{CHAPTER} [0-9lIoOsSgiz]{{1,3}}\s{{2,}}\S.{{0,60}}$")
 SECTIONED = re.compile(r"^\S.{1,60} [—–-] [0-9lIoO]{1,3}\.[0-9lIoO]{1,3}$")
 ENDS = ".!?:;,。！？；："
-WORD = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
+LONGEST = 40  # characters of a word that confusions and missing spaces are looked for in
+
+
+def _parts(t: str) -> tuple[str, str, str]:
+    """What is before the token's first letter or figure, the core, and what is behind its last one."""
+    a, b = 0, len(t)
+    while a < b and not (t[a].isalnum() or t[a] == "_"):
+        a += 1
+    while b > a and not (t[b - 1].isalnum() or t[b - 1] == "_"):
+        b -= 1
+    return t[:a], t[a:b], t[b:]
 
 
 def _furniture(lines: list[str], pages: set[int]) -> list[bool]:
@@ -79,6 +89,8 @@ class Decoder:
 
     def fix(self, word: str) -> tuple[str, int] | None:
         """(the known word that the fewest confusions lead from, their number), if up to three do."""
+        if len(word) > LONGEST:
+            return None
         if word in self.memo:
             return self.memo[word]
         if len(self.memo) > 200_000:
@@ -120,7 +132,7 @@ class Decoder:
     def decode(self, tokens: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], int, int]:
         """tokens: (what is before it: "" or white space, token). (tokens as read, words joined over a line end, confusions)."""
         n = len(tokens)
-        parts = [WORD.match(t).groups() for _, t in tokens]
+        parts = [_parts(t) for _, t in tokens]
         best, back = [0.0] + [float("inf")] * n, [None] * (n + 1)
         for i in range(n):
             lead, core, tail = parts[i]
@@ -146,7 +158,7 @@ class Decoder:
                 price = j + (0.7 if over else 1.0)
                 if j < 2 and here + price < best[i + 2]:
                     best[i + 2], back[i + 2] = here + price, (i, lead + r + tail2, 1 if over else 0, w)
-            if c >= 2 and core.isalpha() and len(core) > 7:
+            if c >= 2 and core.isalpha() and 7 < len(core) <= LONGEST:
                 for k in range(3, len(core) - 2):
                     if core[:k].lower() in self.known and core[k:] in self.known and here + 1.5 < best[i + 1]:
                         best[i + 1], back[i + 1] = here + 1.5, (i, f"{lead}{core[:k]} {core[k:]}{tail}", 0, 0)
