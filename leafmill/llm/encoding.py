@@ -115,6 +115,8 @@ def _kind(c: str) -> str:
         return "s"
     if n == 0xA0:
         return "w"
+    if 0x2190 <= n < 0x2500 or 0x2600 <= n < 0x2C00:
+        return "s"
     if 0x2500 <= n <= 0x25FF:
         return "b"
     if 0x400 <= n <= 0x52F:

@@ -31,7 +31,8 @@ TAG = re.compile(r"<(?:/?([A-Za-z][A-Za-z0-9:-]*)(?:\s[^<>]*)?/?>|!--|!\[?[A-Za-
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 FENCE = re.compile(r"^[ \t]*(?:```+|~~~+)", re.M)
 COMMAND = re.compile(r"(?<![\\\w:])\\[A-Za-z]+\*?|\\[A-Za-z]+\*?(?=[{\[])")
-FORMULA = re.compile(r"\$\$|\$(?=[^$\n]*[\\^_={}+])[^$\n]+\$|\$[A-Za-z]\$|\\[()\[\]]")
+INLINE = r"\$(?=\S)(?=[^$\n]*[\\^_={}+])[^$\n]*(?<=\S)\$(?!\d)"  # a price has a space before, or figures behind its sign
+FORMULA = re.compile(rf"\$\$|{INLINE}|\$[A-Za-z]\$|\\[()\[\]]")
 
 #: (what it is, a string it needs, pattern) of a piece of Markdown, wiki or LaTeX syntax.
 PIECES = [
@@ -237,7 +238,7 @@ def _unwrap(s: str) -> str:
     s = re.sub(r"\\(?:begin|end)\{[^}]*\}(?:\{[^}]*\})?|\\(?:label|vspace|hspace|pagestyle|bibliography|usepackage|documentclass)\*?(?:\[[^\]]*\])?\{[^}]*\}", "", s)
     s = re.sub(r"\\\[\s*(.*?)\s*\\\]", r"\n$$ \1 $$\n", s, flags=re.S)
     s = re.sub(r"\\\(\s*(.*?)\s*\\\)", r"$\1$", s, flags=re.S)
-    parts = re.split(r"(\$\$.*?\$\$|\$(?=[^$\n]*[\\^_={}+])[^$\n]+\$|```.*?```)", s, flags=re.S)
+    parts = re.split(rf"(\$\$.*?\$\$|{INLINE}|```.*?```)", s, flags=re.S)
     return "".join(p if k % 2 else _prose(p) for k, p in enumerate(parts))
 
 

@@ -30,6 +30,7 @@ WITH_NUMBER = re.compile(r"^\S.{1,70}?\s{3,}[0-9lIoOsSgiz]{1,4}$|^\d{1,4}\s{3,}\
 NUMBERED = re.compile(rf"^{CHAPTER} [0-9lIoOsSgiz]{{1,3}}\s{{2,}}\S.{{0,60}}$")
 SECTIONED = re.compile(r"^\S.{1,60} [—–-] [0-9lIoO]{1,3}\.[0-9lIoO]{1,3}$")
 ENDS = ".!?:;,。！？；："
+STOPS = ".!?。！？"
 LONGEST = 40  # characters of a word that confusions and missing spaces are looked for in
 
 
@@ -62,6 +63,9 @@ def _furniture(lines: list[str], pages: set[int]) -> list[bool]:
             flags.append(len(body) > 1)
             continue
         letters = [c for c in s if c.isalpha()]
+        if any(not (c.isalnum() or c in " .,'’&:/()—–-|") for c in s):
+            flags.append(False)
+            continue
         short = len(s) < 0.72 * wide and s[-1] not in ENDS and len(s.split()) <= 6 and s[0] not in "•({[" and len(letters) > 2
         if not short or len(body) < 2:
             flags.append(False)
@@ -76,7 +80,7 @@ def _furniture(lines: list[str], pages: set[int]) -> list[bool]:
             flags.append(loud)
             continue
         alone = not following.strip() and not (lines[i - 1].strip() if i else "")
-        cut = before and before[-1] not in ENDS and (alone or after[:1].islower())
+        cut = before and before[-1] not in STOPS and (alone or after[:1].islower())
         flags.append(loud or titled and (edge or cut or before[-1:] in ".!?" and after[:1].isupper() and wide - len(s) > 12))
     return flags
 
@@ -138,6 +142,9 @@ class Decoder:
             lead, core, tail = parts[i]
             here = best[i]
             c, reading, wrong = self.cost(core)
+            after = tokens[i + 1] if i + 1 < n else ("", "")
+            if "\n" in after[0] and len(tail) == 1 and tail in HYPHENS and core[-1:].isalpha() and after[1][0].isalpha():
+                c += 1.5  # a hyphen that ends a line is rarely the word's own
             if here + c < best[i + 1]:
                 best[i + 1], back[i + 1] = here + c, (i, lead + reading + tail, 0, wrong)
             if i + 1 >= n:
