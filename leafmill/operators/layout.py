@@ -107,3 +107,67 @@ def page_sections(pages: DataFrame, most_pages: int = 2) -> DataFrame:
     start = F.min("page").over(Window.partitionBy("doc_id", "t"))
     cut = titled.withColumn("p", F.floor((F.col("page") - start) / most_pages))
     return cut.groupBy("doc_id", "t", "p").agg(F.max("title").alias("title"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("blocks"), F.min("block_no").alias("first")).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("section"), "title", "first_page", "last_page", "blocks")
+
+
+def without_contained(blocks: DataFrame, tables: DataFrame, share: float = 0.6) -> DataFrame:
+    """The blocks of which no table covers more than the share."""
+    inside = overlapping(blocks, tables).where(F.col("shared") > share * area("l_")).select(*PAGE, F.col("l_box_id").alias("box_id")).distinct()
+    return blocks.join(inside, [*PAGE, "box_id"], "left_anti")
+
+
+def drop_covered(boxes: DataFrame, share: float = 0.7) -> DataFrame:
+    """Without every box that another one of its kind overlaps by the share of either and beats: by score, then by box_id."""
+    pairs = overlapping(boxes, boxes).where("l_box_id <> r_box_id and l_kind = r_kind")
+    near = F.col("shared") >= share * F.least(area("l_"), area("r_"))
+    beaten = (F.col("r_score") > F.col("l_score")) | ((F.col("r_score") == F.col("l_score")) & (F.col("r_box_id") < F.col("l_box_id")))
+    gone = pairs.where(near & beaten).select(*PAGE, F.col("l_box_id").alias("box_id")).distinct()
+    return boxes.join(gone, [*PAGE, "box_id"], "left_anti")
+
+
+def reading_order(boxes: DataFrame, step: float = 10.0) -> DataFrame:
+    """(doc_id, page, box_id, place): by column, then from top to bottom in steps, then from the left."""
+    w = Window.partitionBy(*PAGE).orderBy("col", F.floor(F.col("top") / step), "x0", "box_id")
+    return boxes.select(*PAGE, "box_id", F.row_number().over(w).alias("place"))
+
+
+def columns(boxes: DataFrame, gap: float = 40.0, most: int = 4) -> DataFrame:
+    """The boxes with col, from 0: sorted by their left edge, a gap to the next edge starts a column; what is beyond `most`
+    columns belongs to the last."""
+    w = Window.partitionBy(*PAGE).orderBy("x0", "box_id")
+    jump = F.col("x0") - F.lag("x0").over(w)
+    n = F.sum(F.when(jump > gap, 1).otherwise(0)).over(w)
+    return boxes.withColumn("col", F.least(n, F.lit(most - 1)).cast("int"))
+
+
+def nearest_captions(captions: DataFrame, figures: DataFrame, reach: float = 200.0) -> DataFrame:
+    """(doc_id, page, caption_id, figure_id): for every caption the figure or table of its page whose centre is nearest,
+    within a reach from top to bottom."""
+    centre = lambda p, a, b: (F.col(f"{p}{a}") + F.col(f"{p}{b}")) / 2
+    near = figures.withColumns({"top": F.col("top") - reach, "bottom": F.col("bottom") + reach})
+    pairs = _bands(captions, "l_", reach).join(_bands(near, "r_", reach), [*PAGE, "band"]).dropDuplicates([*PAGE, "l_box_id", "r_box_id"])
+    d = (centre("l_", "x0", "x1") - centre("r_", "x0", "x1")) ** 2 + (centre("l_", "top", "bottom") - centre("r_", "top", "bottom")) ** 2
+    w = Window.partitionBy(*PAGE, "l_box_id").orderBy(d, "r_box_id")
+    return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select(*PAGE, F.col("l_box_id").alias("caption_id"), F.col("r_box_id").alias("figure_id"))
+
+
+def contents_pages(boxes: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, page) of pages with more than `most` lines of dot leaders: contents, not text."""
+    return boxes.where(F.col("text").rlike(r"[·.…]{6,}|(\. ){6,}")).groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*PAGE)
+
+
+def table_cells(boxes: DataFrame, rows: DataFrame, cols: DataFrame, share: float = 0.3) -> DataFrame:
+    """(doc_id, page, row, col, text): boxes in the row and the column that cover most of them, at least the share; the
+    texts of one cell in reading order. Boxes without a row or column are left out."""
+    def best(areas: DataFrame, name: str) -> DataFrame:
+        hit = overlapping(boxes, areas).withColumn("part", F.col("shared") / area("l_")).where(F.col("part") >= share)
+        w = Window.partitionBy(*PAGE, "l_box_id").orderBy(F.desc("part"), "r_box_id")
+        return hit.withColumn("n", F.row_number().over(w)).where("n = 1").select(*PAGE, F.col("l_box_id").alias("box_id"), F.col("r_box_id").alias(name))
+
+    placed = boxes.join(best(rows, "row"), [*PAGE, "box_id"]).join(best(cols, "col"), [*PAGE, "box_id"])
+    parts = F.array_sort(F.collect_list(F.struct("top", "x0", "box_id", "text")))
+    return placed.groupBy(*PAGE, "row", "col").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+
+
+def confident(boxes: DataFrame, least: float = 0.5) -> DataFrame:
+    """The boxes, with the text of those read with less confidence left empty."""
+    return boxes.withColumn("text", F.when(F.col("score") >= least, F.col("text")).otherwise(""))

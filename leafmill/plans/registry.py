@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.functions import cells as K, chunk as C, parse as P, text as T
+from leafmill.functions import cells as K, chunk as C, elements as EL, parse as P, records as RC, spans as SP, text as T
 from leafmill.operators import cache, encode as E, index as I, layout as L, retrieve as R, sections as S
 from leafmill.operators.incremental import applied_state, current_state, pending_changes
 from leafmill.sources.files import OFFICE  # noqa: F401  (part of the public surface)
@@ -529,9 +529,10 @@ def sparse_encoding(spark, sf):
 # -- layout ---------------------------------------------------------------------------------------------------------------
 
 _BOX = """
+    li as (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_quantity) as l_quantity, min(l_shipdate) as l_shipdate, min(l_discount) as l_discount from lineitem group by 1, 2),
     bx as (select l_orderkey // 40 as doc_id, l_linenumber as page, l_orderkey * 10 + l_linenumber as box_id, (l_partkey % 400)::double as x0, (l_partkey % 400 + 20 + l_quantity)::double as x1,
         ((l_orderkey * 7 + l_suppkey * 13) % 700)::double as top, ((l_orderkey * 7 + l_suppkey * 13) % 700 + 8 + l_linenumber * 2)::double as bottom,
-        case l_suppkey % 4 when 0 then 'text' when 1 then 'title' when 2 then 'header' else 'table' end as kind, (l_shipdate::varchar)[1:7] as text, l_discount as score from lineitem)
+        case l_suppkey % 4 when 0 then 'text' when 1 then 'title' when 2 then 'header' else 'table' end as kind, (l_shipdate::varchar)[1:7] as text, l_discount as score from li)
 """
 _REGIONS = "rg as (select doc_id, page, box_id, x0 - 30 as x0, x1 + 60 as x1, top - 20 as top, bottom + 40 as bottom, kind from bx where box_id // 10 % 8 = 0)"
 _OVER = "greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.bottom, r.bottom) - greatest(l.top, r.top))"
@@ -541,7 +542,8 @@ def _boxes(spark, sf) -> DataFrame:
     n = F.col("l_linenumber")
     top, x0 = F.pmod(F.col("l_orderkey") * 7 + F.col("l_suppkey") * 13, F.lit(700)).cast("double"), F.pmod("l_partkey", F.lit(400)).cast("double")
     kind = F.element_at(F.array(*map(F.lit, ("text", "title", "header", "table"))), (F.pmod("l_suppkey", F.lit(4)) + 1).cast("int"))
-    return table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_discount")))
+    return lines.select(
         F.floor(F.col("l_orderkey") / 40).alias("doc_id"), n.alias("page"), (F.col("l_orderkey") * 10 + n).alias("box_id"), x0.alias("x0"), (x0 + 20 + F.col("l_quantity")).alias("x1"),
         top.alias("top"), (top + 8 + n * 2).alias("bottom"), kind.alias("kind"), F.substring(F.col("l_shipdate").cast("string"), 1, 7).alias("text"), F.col("l_discount").alias("score"))
 
@@ -599,6 +601,37 @@ def page_sections(spark, sf):
     return L.page_sections(n.withColumn("title", F.when(F.col("block_no") % 5 == 0, F.col("section_header"))))
 
 
+@query(f"""with {_BOX}, {_REGIONS} select doc_id, page, box_id from bx l where not exists (select 1 from rg r where r.doc_id = l.doc_id and r.page = l.page and r.kind = 'table' and {_OVER} > 0.6 * ((l.x1 - l.x0) * (l.bottom - l.top)))""")
+def blocks_outside_tables(spark, sf):
+    return L.without_contained(_boxes(spark, sf), _regions(spark, sf).where("kind = 'table'")).select("doc_id", "page", "box_id")
+
+
+@query(f"""with {_BOX} select doc_id, page, box_id from bx l where not exists (select 1 from bx r where r.doc_id = l.doc_id and r.page = l.page and r.kind = l.kind and r.box_id <> l.box_id and {_OVER} > 0
+    and {_OVER} >= 0.7 * least((l.x1 - l.x0) * (l.bottom - l.top), (r.x1 - r.x0) * (r.bottom - r.top)) and (r.score > l.score or r.score = l.score and r.box_id < l.box_id))""")
+def uncovered_boxes(spark, sf):
+    return L.drop_covered(_boxes(spark, sf)).select("doc_id", "page", "box_id")
+
+
+@query(f"""with {_BOX}, j as (select *, x0 - lag(x0) over w as jump from bx window w as (partition by doc_id, page order by x0, box_id)),
+    c as (select *, least(sum(case when jump > 40 then 1 else 0 end) over (partition by doc_id, page order by x0, box_id rows unbounded preceding), 3) as col from j)
+    select doc_id, page, box_id, col::int as col, row_number() over (partition by doc_id, page order by col, floor(top / 10), x0, box_id) as place from c""")
+def reading_order(spark, sf):
+    b = L.columns(_boxes(spark, sf))
+    return L.reading_order(b).join(b.select("doc_id", "page", "box_id", "col"), ["doc_id", "page", "box_id"])
+
+
+@query(f"""with {_BOX}, p as (select l.doc_id, l.page, l.box_id as caption_id, r.box_id as figure_id, ((l.x0 + l.x1) / 2 - (r.x0 + r.x1) / 2) ** 2 + ((l.top + l.bottom) / 2 - (r.top + r.bottom) / 2) ** 2 as d from bx l join bx r on l.doc_id = r.doc_id and l.page = r.page and l.kind = 'title' and r.kind = 'table'),
+    n as (select *, row_number() over (partition by doc_id, page, caption_id order by d, figure_id) as n, min(d) over (partition by doc_id, page, caption_id) as m from p)
+    select doc_id, page, caption_id, figure_id from n where n = 1 and m < 10000""")
+def nearest_captions(spark, sf):
+    """Captions with a table within 100 points of their centre."""
+    b = _boxes(spark, sf)
+    near = L.nearest_captions(b.where("kind = 'title'"), b.where("kind = 'table'"), 1000.0)
+    c = b.select("doc_id", "page", "box_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("top") + F.col("bottom")) / 2).alias("y"))
+    both = near.join(c.toDF("doc_id", "page", "caption_id", "xa", "ya"), ["doc_id", "page", "caption_id"]).join(c.toDF("doc_id", "page", "figure_id", "xb", "yb"), ["doc_id", "page", "figure_id"])
+    return both.where("(xa - xb) * (xa - xb) + (ya - yb) * (ya - yb) < 10000").select("doc_id", "page", "caption_id", "figure_id")
+
+
 # -- sheets, records and codes --------------------------------------------------------------------------------------------
 
 
@@ -648,3 +681,86 @@ def windowed_events(spark, sf):
     from leafmill.streaming.ingest import windowed_counts
 
     return windowed_counts(table(spark, sf, "events"))
+
+
+@query("""
+    with g as (select *, date_diff('day', lag(o_orderdate) over (partition by o_custkey order by o_orderdate), o_orderdate) as gap from orders where o_orderdate is not null)
+    select o_custkey, count(*) as entries, min(o_orderdate) as first_time, max(o_orderdate) as last_time, round(avg(gap), 6) as mean_gap, max(gap) as longest_gap, max(o_totalprice) as greatest, date_diff('day', min(o_orderdate), max(o_orderdate)) as days from g group by 1
+""")
+def record_history(spark, sf):
+    return RC.history(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+
+
+@query(r"""
+    select node_no, regexp_matches(text, '^[ -~\s]*$') as latin, md5(trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) as plain_md5 from (select distinct node_no, text from text_nodes where text is not null)
+""")
+def plain_text(spark, sf):
+    n = nodes(spark, sf, "text").where("text is not null")
+    return n.select("node_no", F.col("text").rlike(r"^[ -~\s]*$").alias("latin"), F.md5(RC.without_markup(F.col("text"))).alias("plain_md5"))
+
+
+@query("select doc_id, avg(case when regexp_matches(coalesce(text, ''), '^[ -~\\s]*$') then 1 else 0 end) > 0.5 as english from (select distinct node_no, doc_id, text from text_nodes) group by 1")
+def language_vote(spark, sf):
+    return SP.language_vote(nodes(spark, sf, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))))
+
+
+@query(r"""
+    with t as (select distinct node_no, section_header as t from text_nodes where section_header is not null)
+    select node_no, length(t) between 2 and 100 and not regexp_matches(t, '^\d+(\s*[-/]\s*\d+)?$') and (regexp_matches(t, '(?i)^(chapter\s+\d+|section\s+\d+|lecture\s+\d+|part\s+[ivx]+|table\s+of\s+contents|references|appendix|\d+(\.\d+)*\s+[\w\s]+|[ivx]+\.\s+[\w\s]+)')
+        or length(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 4 and upper(regexp_replace(t, '[^A-Za-z]', '', 'g')) = regexp_replace(t, '[^A-Za-z]', '', 'g')) as title from t
+""")
+def section_titles(spark, sf):
+    n = nodes(spark, sf, "section_header").where("section_header is not null")
+    none = F.lit(None).cast("double")
+    return n.select("node_no", SP.is_section_title(F.col("section_header"), none, none, none, none).alias("title"))
+
+
+@query("select c_custkey, unnest(list_transform(range(1, least(length(c_name), 20) + 1), lambda k: substring(c_name, 1, k))) as prefix from customer where c_custkey % 10 = 0")
+def name_prefixes(spark, sf):
+    return table(spark, sf, "customer").where("c_custkey % 10 = 0").select("c_custkey", F.explode(RC.prefixes(F.col("c_name"))).alias("prefix"))
+
+
+def _per_row(df: DataFrame, run, schema: str) -> DataFrame:
+    """Rows (id, value) from a function of the text that gives a list of strings."""
+    import pyarrow as pa
+
+    def work(batches):
+        for b in batches:
+            yield pa.record_batch({"id": b["id"], "v": pa.array([run(t) for t in b["text"].to_pylist()], pa.list_(pa.string()))})
+
+    return df.mapInArrow(work, "id long, v array<string>").select("id", F.posexplode("v").alias("n", schema))
+
+
+@query()
+def markdown_elements(spark, sf):
+    n = nodes(spark, sf, "text").where("text is not null").select(F.col("node_no").alias("id"), "text")
+    return _per_row(n, lambda t: [f"{e['kind']}:{e['start']}-{e['end']}" for e in EL.markdown_elements(t)], "element")
+
+
+@query()
+def pulled_tables(spark, sf):
+    n = nodes(spark, sf, "text").where(F.col("text").contains("|") | F.lower("text").contains("<table")).select(F.col("node_no").alias("id"), "text")
+    return _per_row(n, lambda t: EL.pull_tables(t)[1], "table_text")
+
+
+@query()
+def html_block_chunks(spark, sf):
+    n = nodes(spark, sf, "text").where(F.col("text").contains("<")).select(F.col("node_no").alias("id"), "text")
+    return _per_row(n, lambda t: EL.pack_blocks(EL.html_blocks(t)), "chunk")
+
+
+@query()
+def json_chunks(spark, sf):
+    e = table(spark, sf, "events").where("props is not null").select(F.col("event_id").alias("id"), F.col("props").alias("text"))
+    return _per_row(e, EL.json_pieces, "piece")
+
+
+@query(r"""
+    with s as (select doc_id, md5(doc_id::varchar) as h, regexp_extract(text, '^[^.!?。\n]*[.!?。]', 0) as question from documents where text is not null),
+    n as (select *, row_number() over (order by h, doc_id) as n from s where question <> '')
+    select doc_id, question from n where n <= 100
+""")
+def question_sample(spark, sf):
+    """A hundred documents by the hash of their number, each with its first sentence as a question it answers."""
+    s = table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"), F.regexp_extract("text", r"^[^.!?。\n]*[.!?。]", 0).alias("question"))
+    return s.where("question <> ''").orderBy("h", "doc_id").limit(100).select("doc_id", "question")
