@@ -53,27 +53,33 @@ def drop_repeated_furniture(boxes: DataFrame, kinds: tuple[str, ...] = ("header"
     return boxes.where(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))).join(gone.select("doc_id", "text"), ["doc_id", "text"], "left_anti")
 
 
-def suppress(boxes: DataFrame, threshold: float = 0.45, plus: float = 1.0):
+def suppress(boxes: DataFrame, threshold: float = 0.45, plus: float = 1.0, parts: int = 256) -> DataFrame:
     """Greedy suppression per page and kind: best score first, a box stays unless it overlaps a kept one by more than the
-    threshold of their union. Areas count `plus` pixels more on each side. Equal scores go to the smaller box_id."""
+    threshold of their union. Areas count `plus` pixels more on each side. Equal scores go to the smaller box_id. Pages and
+    kinds are worked on in `parts` groups of many; rows without one are left together."""
     import numpy as np
     import pyarrow as pa
 
     def run(t: pa.Table) -> pa.Table:
-        x0, x1, y0, y1, s, i = (t[c].to_numpy() for c in ("x0", "x1", "top", "bottom", "score", "box_id"))
-        size, left, keep = (x1 - x0 + plus) * (y1 - y0 + plus), np.lexsort((i, -s)), []
-        while len(left):
-            k, left = left[0], left[1:]
-            keep.append(k)
-            w = np.maximum(0, np.minimum(x1[k], x1[left]) - np.maximum(x0[k], x0[left]) + plus)
-            h = np.maximum(0, np.minimum(y1[k], y1[left]) - np.maximum(y0[k], y0[left]) + plus)
-            left = left[w * h <= threshold * (size[k] + size[left] - w * h)]
-        return t.take(pa.array(sorted(keep)))
+        """Many pages and kinds at once: their groups are stretches of the rows sorted by group and score."""
+        x0, x1, y0, y1, s, i, g = (t[c].to_numpy() for c in ("x0", "x1", "top", "bottom", "score", "box_id", "g"))
+        size, order, keep = (x1 - x0 + plus) * (y1 - y0 + plus), np.lexsort((i, -s, g)), []
+        cuts = np.flatnonzero(np.diff(g[order])) + 1
+        for left in np.split(order, cuts) if len(order) else ():
+            while len(left):
+                k, left = left[0], left[1:]
+                keep.append(k)
+                if len(left):
+                    w = np.maximum(0, np.minimum(x1[k], x1[left]) - np.maximum(x0[k], x0[left]) + plus)
+                    h = np.maximum(0, np.minimum(y1[k], y1[left]) - np.maximum(y0[k], y0[left]) + plus)
+                    left = left[w * h <= threshold * (size[k] + size[left] - w * h)]
+        return t.select([c for c in t.column_names if c not in ("g", "part")]).take(pa.array(sorted(keep), pa.int64()))
 
     kinds = dict(boxes.dtypes)
     cols = [*PAGE, "box_id", "kind", "x0", "x1", "top", "bottom", "score"]
-    typed = boxes.select(*PAGE, "box_id", "kind", *(F.col(c).cast("double").alias(c) for c in cols[4:]))
-    return typed.groupBy(*PAGE, "kind").applyInArrow(run, ", ".join(f"{c} {kinds[c] if c in cols[:4] else 'double'}" for c in cols))
+    typed = boxes.select(*PAGE, "box_id", "kind", *(F.col(c).cast("double").alias(c) for c in cols[4:])).withColumn("g", F.xxhash64(*PAGE, "kind"))
+    part = F.pmod("g", F.lit(parts)).cast("int")
+    return typed.withColumn("part", part).groupBy("part").applyInArrow(run, ", ".join(f"{c} {kinds[c] if c in cols[:4] else 'double'}" for c in cols))
 
 
 def merge_lines(boxes: DataFrame, share: float = 1 / 3) -> DataFrame:

@@ -62,34 +62,27 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFram
     return top_k(out, k)
 
 
-def postings(docs: DataFrame, doc: str = "node_id", text: str = "text") -> DataFrame:
-    """(node_id, term, tf)."""
-    return docs.select(F.col(doc).alias("node_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, term), each term once."""
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
-def bm25_scores(terms: DataFrame, post: DataFrame, docs: int, mean_length: float, lengths: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, node_id, score), rounded to 6 places, of documents that share a term with the query."""
-    wanted = terms.select("term").distinct()
-    df = post.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean_length))
-    hit = post.join(idf, "term").join(lengths, "node_id").join(terms, "term")
-    return hit.groupBy("query_id", "node_id").agg(F.round(F.sum(weight), 6).alias("score"))
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, node_id, score, rank). queries: (query_id, text), docs: (node_id, text). Empty and null texts match nothing.
 
-
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, node_id, score, rank). queries: (query_id, text), docs: (node_id, text). Empty and null texts match nothing."""
-    post = postings(docs)
-    lengths = post.groupBy("node_id").agg(F.sum("tf").alias("dl"))
-    head = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("a")).head()
+    Lengths come from the token arrays without a shuffle, and only postings of terms that a query has are counted and joined.
+    Scores are rounded to 6 places.
+    """
+    words = docs.select("node_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0).select("node_id", "w", F.size("w").alias("dl"))
+    head = words.agg(F.count("*").alias("n"), F.avg("dl").alias("a")).head()
     if not head["n"]:
         return docs.sparkSession.createDataFrame([], "query_id long, node_id long, score double, rank int")
-    return top_k(bm25_scores(query_terms(queries), post, head["n"], head["a"], lengths), k)
+    terms = query_terms(queries)
+    post = words.select("node_id", "dl", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
+    idf = post.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (F.lit(head["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / head["a"]))
+    hit = post.join(idf, "term").join(terms, "term")
+    return top_k(hit.groupBy("query_id", "node_id").agg(F.round(F.sum(weight), 6).alias("score")), k)
 
 
 def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
