@@ -215,14 +215,26 @@ def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(lambda b: _canonical(b, "text"), "id long, text string, canonical string")
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, c1, c2, t1, t2): hashes of the form and of the text of every distinct record."""
+    rows = canonical_texts(df, id_col, text_col).where("id is not null and text is not null")
+    return rows.select("id", F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(17), "canonical").alias("c2"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2")).distinct()
+
+
+def look_alike_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, form, texts) for every record: the smallest id whose text looks the same, and how many different texts do."""
+    keyed = _keyed(df, id_col, text_col)
+    forms = keyed.groupBy("c1", "c2", "t1", "t2").agg(F.min("id").alias("m")).groupBy("c1", "c2").agg(F.min("m").alias("form"), F.count("*").alias("texts"))
+    return keyed.join(forms, ["c1", "c2"]).select("id", "form", "texts")
+
+
 def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b), a < b: ids whose texts have one consistent form but are not the same sequence of characters.
 
     Null texts and ids take no part; empty ones do. Ids given twice count once. Texts are compared by 128 bits of hash;
     only forms that come in several texts are joined, so groups of exact copies alone cost nothing.
     """
-    rows = canonical_texts(df, id_col, text_col).where("id is not null and text is not null")
-    keyed = rows.select("id", F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(17), "canonical").alias("c2"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2")).distinct()
+    keyed = _keyed(df, id_col, text_col)
     varied = keyed.groupBy("c1", "c2").agg(F.min("t1").alias("lo1"), F.max("t1").alias("hi1"), F.min("t2").alias("lo2"), F.max("t2").alias("hi2")).where("lo1 <> hi1 or lo2 <> hi2").select("c1", "c2")
     some = keyed.join(varied, ["c1", "c2"], "left_semi")
     x, y = (some.select("c1", "c2", *(F.col(c).alias(f"{c}{s}") for c in ("id", "t1", "t2"))) for s in "xy")

@@ -22,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from leafmill.tables import cut
+
 WORD = re.compile(r"[^ \t\r\n]+")
 EPS = 1e-9
 
@@ -326,3 +328,40 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "node_no", text_col: str =
     between = pairs.join(a, "a").join(b, "b").select("x", "y", "similarity")
     within = own.withColumnRenamed("rep", "a").withColumnRenamed("id", "x").join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     return between.unionByName(within).select(F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b"), "similarity")
+
+
+def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+    """(id, group): the smallest id that links (a, b) connect each id to; ids without a link are left out.
+
+    Large-star and small-star steps in turn: every id links its greater neighbours to its smallest one, then itself and its
+    smaller neighbours. Each round is kept in the shared folder; the number of rounds grows with the logarithm of a
+    component's diameter, and a component that is not done after `rounds` is an error.
+    """
+    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    sign = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
+    before = sign(edges)
+    for _ in range(rounds):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        edges = cut(small)
+        after = sign(edges)
+        if after == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("group")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())
+        before = after
+    raise RuntimeError(f"components not found in {rounds} rounds")
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str = "node_no", text_col: str = "text", width: int = 3, threshold: float = 0.5, min_words: int = 40, rows: int | None = None) -> DataFrame:
+    """(node_no, class, group, links), one row for each id of a text of at least `min_words` words: the smallest id of equal
+    text, the smallest id of all texts that links connect, and the number of different texts its text is linked to. Groups
+    of copies cost a row for each copy, not for each pair of them."""
+    rows = df.count() if rows is None else rows
+    texts = eligible(df, id_col, text_col, min_words)
+    pairs = cut(similar_texts(texts, width, threshold, rows).select("a", "b"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    groups = components(pairs).withColumnRenamed("id", "rep")
+    own = members(texts).join(links, "rep", "left").join(groups, "rep", "left")
+    return own.select(F.col("id").alias("node_no"), F.col("rep").alias("class"), F.coalesce("group", "rep").alias("group"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm.canonical import canonical_texts, look_alike_pairs
+from leafmill.llm.canonical import canonical_texts, look_alike_groups, look_alike_pairs
 from leafmill.llm.encoding import restore_encoding
 from leafmill.llm.markup import strip_markup
 from leafmill.llm.mixing import mix, report
-from leafmill.llm.near_dup import near_duplicate_pairs
+from leafmill.llm.near_dup import near_duplicate_groups, near_duplicate_pairs
 from leafmill.llm.packing import fill, pack_items
 from leafmill.llm.scan_noise import repair_scans
 from leafmill.llm.split import split_oversized
@@ -47,6 +47,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf, "text_nodes")).select("node_a", "node_b")
 
 
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf, "text_nodes"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     near = nearest_vectors(table(spark, sf, "text_nodes"))
     return near.select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
@@ -95,17 +99,33 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf, "documents")).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
+def p10_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return look_alike_groups(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def p10_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return canonical_texts(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "canonical")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_packs": p8_packs, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_packs": p8_packs, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_canonical": p10_canonical, "p10_groups": p10_groups}
 
 SQL = {
     "p2_found": """
         select distinct node_no from text_nodes
         where length(text) > case when lower(section_header) like '%table%' then 1536 else 2048 end
     """,
+    "p4_groups": r"""
+        with recursive n as (select distinct node_no, text from text_nodes where text is not null),
+        w as (select node_no, text, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '') as w from n),
+        c as (select node_no, min(node_no) over (partition by text) as class, w from w where len(w) >= 40),
+        r as (select node_no, w from c where node_no = class),
+        g as (select distinct node_no, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from r),
+        s as (select node_no, count(*) as n from g group by node_no),
+        o as (select a.node_no as a, b.node_no as b, count(*) as o from g a join g b on a.g = b.g and a.node_no <> b.node_no group by all),
+        e as (select a, b from o join s x on x.node_no = a join s y on y.node_no = b where 2 * o >= x.n + y.n - o),
+        t as (select node_no as id, node_no as to_ from r union select t.id, e.b from t join e on e.a = t.to_)
+        select node_no, class, coalesce((select min(to_) from t where t.id = class), class) as "group", (select count(*) from e where e.a = class) as links from c
+    """,
     "p4_found": r"""
         with n as (select distinct node_no, text from text_nodes where text is not null),
         w as (select node_no, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '') as w from n),

@@ -1,7 +1,7 @@
 import random
 import re
 
-from leafmill.llm.near_dup import near_duplicate_pairs
+from leafmill.llm.near_dup import components, near_duplicate_groups, near_duplicate_pairs
 
 
 def brute(rows, width, threshold, least):
@@ -70,3 +70,13 @@ def test_nulls_copies_and_repeats(spark):
 def test_long_text_and_case(spark):
     long = " ".join(f"B{k}" for k in range(20_000))
     assert found(spark, [(1, long), (2, long.lower() + "\n")]) == {(1, 2)}
+
+
+def test_components_and_groups(spark):
+    chain = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(200, 200)]
+    got = {r.id: r.group for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{k: 1 for k in range(1, 41)}, **{k: 100 for k in range(100, 130)}}
+    long = " ".join(f"a{k}" for k in range(45))
+    rows = [(k, long) for k in range(30)] + [(50, long + " end"), (60, " ".join(f"b{k}" for k in range(45))), (70, "short"), (80, None)]
+    g = {r.node_no: (r["class"], r.group, r.links) for r in near_duplicate_groups(spark.createDataFrame(rows, "node_no long, text string")).collect()}
+    assert g == {**{k: (0, 0, 1) for k in range(30)}, 50: (50, 0, 1), 60: (60, 60, 0)}

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from leafmill.llm.canonical import canonical_array, look_alike_pairs
+from leafmill.llm.canonical import canonical_array, look_alike_groups, look_alike_pairs
 from leafmill.llm.encoding import implausibility, restore, restore_encoding
 from leafmill.llm.markup import clean_markup, strip_markup
 from leafmill.llm.scan_noise import Decoder, repair, repair_scans
@@ -173,3 +173,4 @@ def test_look_alike_pairs(spark):
     rows = [(1, "the cat"), (2, "the c\u0430t"), (3, "the cat"), (4, None), (5, ""), (6, "\u200b"), (2, "the c\u0430t"), (7, "The cat")]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, id int")
     assert {tuple(r) for r in look_alike_pairs(df).collect()} == {(1, 2), (2, 3), (5, 6)}
+    assert {tuple(r) for r in look_alike_groups(df).collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (5, 5, 2), (6, 5, 2), (7, 7, 1)}
