@@ -44,7 +44,7 @@ PIECES = [
     ("strong", "**", re.compile(r"\*\*")),
     ("emphasis", "*", re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?![\w*])")),
     ("emphasis", "_", re.compile(r"(?<![\w.\\-])_(?=[^\s_])[^_\n]+(?<=\S)_(?![\w_])")),
-    ("strong", "__", re.compile(r"(?<!\w)__(?=\S)|(?<=\S)__(?!\w)")),
+    ("strong", "__", re.compile(r"(?<![A-Za-z0-9_])__(?=\S)|(?<=\S)__(?![A-Za-z0-9_])")),
     ("strike", "~~", re.compile(r"~~")),
     ("link", "](", re.compile(r"\]\(")),
     ("image", "![", re.compile(r"!\[")),
@@ -83,7 +83,7 @@ class _Reader(HTMLParser):
     """Writes the parser's events as lines; counts tags, and the tags and link characters of every line."""
 
     BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form header hr html main nav ol p section summary table tbody tfoot thead tr ul".split())
-    DROP = frozenset("script style noscript template head iframe object svg select textarea".split())
+    DROP = frozenset("ref references script style noscript template head iframe object svg select textarea".split())
 
     def __init__(self):
         super().__init__(convert_charrefs=False)
@@ -91,10 +91,16 @@ class _Reader(HTMLParser):
         self.events = 0
         self.hidden, self.pre, self.anchor, self.cells = [], 0, 0, -1
 
-    def _line(self, keep: bool = False) -> None:
-        if self.lines[-1].strip() or self.tags[-1]:
-            for x, v in ((self.lines, ""), (self.tags, 0), (self.kept, False), (self.links, 0)):
-                x.append(v)
+    def _new(self) -> None:
+        for x, v in ((self.lines, ""), (self.tags, 0), (self.kept, False), (self.links, 0)):
+            x.append(v)
+
+    def _line(self, keep: bool = False, gap: bool = False) -> None:
+        """Goes on in an empty line; with a gap, behind an empty one."""
+        if self.lines[-1].strip():
+            self._new()
+        if gap and len(self.lines) > 1 and self.lines[-2].strip():
+            self._new()
         if keep:
             self.kept[-1] = True
 
@@ -115,13 +121,13 @@ class _Reader(HTMLParser):
         if self.hidden:
             return
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self._line(True)
+            self._line(True, True)
             self._put("#" * int(tag[1]) + " ")
         elif tag == "li":
             self._line(True)
             self._put("- ")
         elif tag in ("pre", "syntaxhighlight"):
-            self._line(True)
+            self._line(True, True)
             self._put("```\n")
             self.pre += 1
         elif tag in ("td", "th"):
@@ -142,7 +148,7 @@ class _Reader(HTMLParser):
         elif tag == "a":
             self.anchor += 1
         elif tag in self.BLOCK:
-            self._line()
+            self._line(gap=tag not in ("tr", "tbody", "thead", "tfoot", "dd", "dt"))
 
     def handle_endtag(self, tag):
         self.events += 1
@@ -155,13 +161,13 @@ class _Reader(HTMLParser):
             if self.pre:
                 self._put("\n```")
                 self.pre -= 1
-            self._line()
+            self._line(gap=True)
         elif tag == "math":
             self._put("$")
         elif tag == "a":
             self.anchor = max(0, self.anchor - 1)
         elif tag in self.BLOCK or tag in ("li", "h1", "h2", "h3", "h4", "h5", "h6"):
-            self._line()
+            self._line(gap=tag not in ("li", "tr", "tbody", "thead", "tfoot", "dd", "dt"))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -219,8 +225,9 @@ def from_html(text: str) -> tuple[str, int]:
     tags, links = np.array(r.tags), np.array(r.links)
     keep = np.ones(len(r.lines), bool)
     if len(r.lines) >= 6 and (tags > 0).mean() > 0.5:
-        keep = content_lines(chars, tags) | np.array(r.kept) | (links < 0.6 * chars)
+        keep = content_lines(chars, tags) | np.array(r.kept) | (chars == 0) | (links < 0.6 * chars)
     out = "\n".join(x for x, k in zip(r.lines, keep) if k)
+    out = re.sub(r"(?m)^```\n\n", "```\n", re.sub(r"(?m)\n\n```$", "\n```", out)) if r.events and "```" in out else out
     return out.replace("\ue000", "<").replace("\ue001", "&"), r.events
 
 
@@ -234,6 +241,8 @@ def _unwrap(s: str) -> str:
     s = re.sub(r"(?m)^%.*\n?", "", s)
     s = re.sub(r"\\begin\{(?:equation|align|gather|displaymath)\*?\}\s*", "\n$$\n", s)
     s = re.sub(r"\s*\\end\{(?:equation|align|gather|displaymath)\*?\}", "\n$$\n", s)
+    s = re.sub(r"\\begin\{(tabular|array)\}(?:\[[^\]]*\])?\{[^}]*\}\s*(.*?)\s*\\end\{\1\}", lambda m: re.sub(r"[ \t]*(?<!\\)&[ \t]*", " | ", re.sub(r"\\hline|\\(?:top|mid|bottom)rule", "", m[2])), s, flags=re.S)
+    s = re.sub(r"\\footnote\{((?:[^{}]|\{[^{}]*\})*)\}", r" (\1)", s)
     s = re.sub(r"\\begin\{(verbatim|lstlisting)\}\n?(.*?)\n?\\end\{\1\}", r"```\n\2\n```", s, flags=re.S)
     s = re.sub(r"\\(?:begin|end)\{[^}]*\}(?:\{[^}]*\})?|\\(?:label|vspace|hspace|pagestyle|bibliography|usepackage|documentclass)\*?(?:\[[^\]]*\])?\{[^}]*\}", "", s)
     s = re.sub(r"\\\[\s*(.*?)\s*\\\]", r"\n$$ \1 $$\n", s, flags=re.S)
@@ -245,6 +254,7 @@ def _unwrap(s: str) -> str:
 def _prose(s: str) -> str:
     s = re.sub(r"(?m)^(?P<q>[^\n]*\S[^\n]*)\n(?:(=)={2,}|--{2,})[ \t]*$", lambda m: ("# " if m[2] else "## ") + m["q"].strip(), s)
     s = re.sub(r"(?m)^(={1,6})[ \t]*([^=\n]+?)[ \t]*={1,6}[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], s)
+    s = re.sub(r"(?m)^( {0,3}#{1,6}[ \t]+[^\n]*?\S)[ \t]+#+[ \t]*$", r"\1", s)
     s = re.sub(r"\\(sub)*(?:section|paragraph|chapter|part)\*?\{([^{}]*)\}", lambda m: "\n" + "#" * (1 + m[0].count("sub")) + " " + m[2] + "\n", s)
     s = re.sub(r"(?m)^(?:\*{3,}|-{3,}|_{3,})[ \t]*$\n?|__[A-Z]{3,}__", "", s)
     s = re.sub(r"!\[([^\]]*)\]\([^)]*\)|\[\[(?:File|Image|Category):[^\]|]*(?:\|[^\]|]*)*?(?:\|([^\]|]*))?\]\]", lambda m: m[1] or m[2] or "", s)
@@ -267,7 +277,7 @@ def _prose(s: str) -> str:
             break
         s = t
     s = re.sub(r"(?<![\\\w:])\\[A-Za-z]+\*?(?=[\s\\]|$)[ \t]*|(?<![\w:\\])\\\\(?!\w)[ \t]*", "", s)
-    s = re.sub(r"\*\*\*|\*\*|'''''|'''|''|~~|(?<!\w)__(?=\S)|(?<=\S)__(?!\w)|``", "", s)
+    s = re.sub(r"\*\*\*|\*\*|'''''|'''|''|~~|(?<![A-Za-z0-9_])__(?=\S)|(?<=\S)__(?![A-Za-z0-9_])|``", "", s)
     s = re.sub(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*)(?<=[^\s*])\*(?![\w*])", r"\1", s)
     s = re.sub(r"(?<![\w.\\-])_(?=[^\s_])([^_\n]+)(?<=\S)_(?![\w_])", r"\1", s)
     s = re.sub(r"`([^`\n]*)`", r"\1", s)
