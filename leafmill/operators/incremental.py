@@ -14,16 +14,25 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def current_state(observations: DataFrame) -> DataFrame:
-    """(source, file_hash, at): the hash of the latest observation of every source, in lower case.
+def observed(observations: DataFrame) -> DataFrame:
+    """(source, blob_id, seen_at, file_hash): what observations say, hashes in lower case.
 
     The hash is file_hash, or doc_id where that is null; observations without either, and those without a source or a
-    time, say nothing. Latest is the greatest seen_at, whenever it landed; equal times go to the greater blob_id.
+    time, say nothing.
     """
     h = F.lower(F.coalesce("file_hash", "doc_id"))
-    said = observations.select("source", h.alias("h"), "seen_at", "blob_id").where("source is not null and h is not null and seen_at is not null")
-    last = said.groupBy("source").agg(F.max(F.struct("seen_at", "blob_id", "h")).alias("last"))
-    return last.select("source", F.col("last.h").alias("file_hash"), F.col("last.seen_at").alias("at"))
+    return observations.select("source", "blob_id", "seen_at", h.alias("file_hash")).where("source is not null and blob_id is not null and file_hash is not null and seen_at is not null")
+
+
+def newest(said: DataFrame) -> DataFrame:
+    """The latest of each source: the greatest seen_at, whenever it landed; equal times go to the greater blob_id."""
+    last = said.groupBy("source").agg(F.max(F.struct("seen_at", "blob_id", "file_hash")).alias("last"))
+    return last.select("source", "last.blob_id", "last.seen_at", "last.file_hash")
+
+
+def current_state(observations: DataFrame) -> DataFrame:
+    """(source, file_hash, at): the hash of the latest observation of every source."""
+    return newest(observed(observations)).select("source", "file_hash", F.col("seen_at").alias("at"))
 
 
 def applied_state(log: DataFrame, runs: DataFrame) -> DataFrame:
@@ -34,12 +43,16 @@ def applied_state(log: DataFrame, runs: DataFrame) -> DataFrame:
     return last.select("source", F.lower("last.content_hash").alias("content_hash"))
 
 
-def pending_changes(observations: DataFrame, log: DataFrame, runs: DataFrame) -> DataFrame:
+def pending(now: DataFrame, then: DataFrame) -> DataFrame:
     """(source, file_hash) of the files to process next: new ones and those whose hash differs from the applied one."""
-    now, then = current_state(observations), applied_state(log, runs)
     return now.join(then, "source", "left").where(~F.col("file_hash").eqNullSafe(F.col("content_hash"))).select("source", "file_hash")
 
 
+def pending_changes(observations: DataFrame, log: DataFrame, runs: DataFrame) -> DataFrame:
+    """(source, file_hash) to process next, from all observations at once."""
+    return pending(current_state(observations), applied_state(log, runs))
+
+
 class IncrementalSync:
     """Exactly-once batches from an append-only log into a sink below `root`, a folder that all executors share.
 
@@ -110,8 +123,8 @@ class IncrementalSync:
             inside = inside | (m if start is None else m & (o > start))
         return log.where(F.col(self.key).isNotNull() & inside).dropDuplicates([self.key, self.offset])
 
-    def sink(self, schema=None) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/sink") if schema is not None else self.spark.read.parquet(f"{self.root}/sink")
+    def sink(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/sink")
 
     def apply(self, rows: DataFrame) -> None:
         """Appends the rows whose key and offset the sink does not hold."""
@@ -130,3 +143,17 @@ class IncrementalSync:
             self.apply(process(self.read(log, batch)))
             self.commit(batch)
         return batch
+
+
+def capture(spark: SparkSession, root: str, observations: DataFrame, partitions: int = 16) -> DataFrame:
+    """(source, blob_id, seen_at, file_hash): brings the log kept below `root` up to the observations and gives the latest one
+    of every source.
+
+    Batches go by the offsets of their partitions, so only rows that came since the last call are read; each leaves the
+    newest observation of its sources in the sink. A call that failed is taken up where its plan was written.
+    """
+    said = observed(observations)
+    sync = IncrementalSync(spark, root, "source", "blob_id", partitions)
+    while sync.run(said, newest):
+        pass
+    return newest(sync.sink()) if sync._batches() else newest(said)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmill.functions import cells as K, chunk as C, elements as EL, parse as P, records as RC, spans as SP, text as T
 from leafmill.operators import cache, encode as E, index as I, layout as L, retrieve as R, sections as S
-from leafmill.operators.incremental import applied_state, current_state, pending_changes
+from leafmill.operators.incremental import applied_state, capture, current_state, pending, pending_changes
 from leafmill.sources.files import OFFICE  # noqa: F401  (part of the public surface)
 from leafmill.streaming.ingest import stream_table, upsert_stream
 from leafmill.tables import shared_dir, table
@@ -47,7 +47,9 @@ NODES = "select distinct node_no, {} from text_nodes"
     where now.file_hash is distinct from before.content_hash
 """)
 def p5_found(spark, sf):
-    return pending_changes(table(spark, sf, "blobs"), table(spark, sf, "ingest_log"), table(spark, sf, "sync_runs"))
+    """Through the change log: offsets a partition, a plan written ahead, a sink without repeats."""
+    now = capture(spark, shared_dir(spark, "sync"), table(spark, sf, "blobs"))
+    return pending(now, applied_state(table(spark, sf, "ingest_log"), table(spark, sf, "sync_runs")))
 
 
 @query(r"""
@@ -93,7 +95,8 @@ def refresh_changes(spark, sf):
 """)
 def reingest_batch(spark, sf):
     """The first fifty files to process, as one throttled batch takes them."""
-    return p5_found(spark, sf).orderBy("source").limit(50)
+    changed = pending_changes(table(spark, sf, "blobs"), table(spark, sf, "ingest_log"), table(spark, sf, "sync_runs"))
+    return changed.orderBy("source").limit(50)
 
 
 # -- text normalisation ---------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import cells as K, chunk as C, parse as P, text as T
 from leafmill.operators import cache, encode as E, index as I, layout as L, retrieve as R, sections as S
-from leafmill.operators.incremental import IncrementalSync, pending_changes
+from leafmill.operators.incremental import IncrementalSync, capture, current_state, pending_changes
 from leafmill.plans.pipeline import IngestionPipeline, QueryEngine, Settings
 from leafmill.sources import files as X
 
@@ -227,6 +227,20 @@ def test_pending_changes(spark):
     assert {r.source for r in pending_changes(blobs, log.limit(0), runs).collect()} == {"a", "b", "d"}
 
 
+def test_capture_in_steps(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, f"s{r.randrange(9)}", r.choice(["AA", "bb", None]), r.choice(["cc", None]), r.randrange(12)) for i in range(120)] + [(200, None, "a", None, 1), (201, "s1", "zz", None, None)]
+    df = spark.createDataFrame(rows, "blob_id long, source string, file_hash string, doc_id string, h int").withColumn("seen_at", F.expr("timestamp '2025-01-01' + make_interval(0, 0, 0, 0, h)"))
+    root = str(tmp_path / "log")
+    for n in (0, 30, 30, 77, 300):
+        part = df.where(F.col("blob_id") < n)
+        got = {(x.source, x.file_hash) for x in capture(spark, root, part, 4).collect()}
+        assert got == {(x.source, x.file_hash) for x in current_state(part).collect()}
+    assert spark.read.parquet(f"{root}/sink").count() <= 3 * 9
+
+
 class Boom(Exception):
     pass
 
