@@ -81,7 +81,7 @@ def mix(sizes: DataFrame, targets: DataFrame, rows: int, total: float | None = N
         raise ValueError(f"more than {most_sources} sources")
     schema = "id long, source string, repeat int, tokens long, slot long, offset long"
     names = [s for s, w, _ in listed if s is not None and w and w > 0]
-    docs = sizes.where(F.col("source").isin(names) & (F.col("tokens") > 0))
+    docs = sizes.select("id", "source", "tokens").where("id is not null").where(F.col("source").isin(names) & (F.col("tokens") > 0))
     ranges = max(1, -(-rows // per_range)) * 16
     docs = docs.withColumn("h", F.xxhash64("id")).withColumn("r", F.pmod("h", F.lit(ranges)).cast("int"))
     per_block = docs.groupBy("source", "r").agg(F.sum("tokens").alias("t"))

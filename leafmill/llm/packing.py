@@ -63,7 +63,7 @@ def pack_items(sizes: DataFrame, capacities: list[tuple[int, int]], rows: int, p
     """(pack_id, capacity, container, id, part, tokens): for each (pack_id, capacity), every item's container.
 
     sizes: (id, tokens). Items are whole, in part 0, unless larger than the capacity: then parts 0, 1, ... are consecutive
-    and all but the last fill their container. Ids given twice count once, null ids not; capacities below 1 are an error.
+    and all but the last fill their container. Ids given twice count once, null ids not; null sizes are 0; capacities below 1 are an error.
     rows: about how many items; it sets the number of workers.
     """
     if any(c is None or c < 1 for _, c in capacities):
@@ -72,7 +72,7 @@ def pack_items(sizes: DataFrame, capacities: list[tuple[int, int]], rows: int, p
         return sizes.sparkSession.createDataFrame([], "pack_id int, capacity int, container long, id long, part int, tokens long")
     packs = F.explode(F.array(*(F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity")) for p, c in capacities)))
     shards = max(1, -(-rows // per_worker))
-    items = sizes.where("id is not null").groupBy("id").agg(F.max("tokens").alias("tokens"))
+    items = sizes.where("id is not null").groupBy("id").agg(F.greatest(F.max("tokens"), F.lit(0)).cast("long").alias("tokens"))
     items = items.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).select("id", "tokens", "shard", packs.alias("p")).select("id", "tokens", "shard", "p.*")
     return items.groupBy("pack_id", "shard").applyInArrow(_pack, "pack_id int, capacity int, container long, id long, part int, tokens long")
 

@@ -47,7 +47,7 @@ def test_pack_is_whole_and_tight():
 
 
 def test_pack_items(spark):
-    rows = [(1, 5), (2, 25), (3, 0), (4, 10), (4, 10), (None, 3), (5, 7), (6, 20)]
+    rows = [(1, 5), (2, 25), (3, 0), (4, 10), (4, 10), (None, 3), (5, 7), (6, 20), (7, None)]
     got = pack_items(spark.createDataFrame(rows, "id long, tokens long"), [(1, 10), (2, 100)], 8).collect()
     for p, capacity in ((1, 10), (2, 100)):
         mine = [r for r in got if r.pack_id == p]
@@ -55,7 +55,7 @@ def test_pack_items(spark):
         for r in mine:
             per[r.container] = per.get(r.container, 0) + r.tokens
         assert max(per.values()) <= capacity and sum(per.values()) == 67
-        assert {r.id for r in mine} == {1, 2, 3, 4, 5, 6}
+        assert {r.id for r in mine} == {1, 2, 3, 4, 5, 6, 7}
         parts = sorted((r.part, r.tokens) for r in mine if r.id == 2)
         assert parts == ([(0, 10), (1, 10), (2, 5)] if p == 1 else [(0, 25)])
         assert sorted((r.part, r.tokens) for r in mine if r.id == 6) == ([(0, 10), (1, 10)] if p == 1 else [(0, 20)])
@@ -87,7 +87,7 @@ def test_quotas():
 
 def test_mix(spark):
     docs = [(i, "big", 10) for i in range(300)] + [(1000 + i, "small", 10) for i in range(10)] + [(5000, None, 9), (5001, "unlisted", 9), (5002, "big", 0)]
-    sizes = spark.createDataFrame(docs, "id long, source string, tokens long")
+    sizes = spark.createDataFrame(docs, "id long, source string, tokens long").selectExpr("*", "0 as h", "1 as r", "2 as base", "3 as size")
     targets = spark.createDataFrame([("big", 3.0, 1), ("small", 1.0, 5), ("absent", 1.0, 2)], "source string, weight double, max_repeats int")
     mixed, shares = mix(sizes, targets, 313, block=50)
     rows = mixed.collect()
