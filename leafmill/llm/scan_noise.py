@@ -24,7 +24,7 @@ HYPHENS = "-‐‑\xad¬"
 # Words before a page number and before a chapter's.
 PAGE_WORD = r"(?:page|pages|p|pg|seite|s|página|pág|стр|с)"
 CHAPTER = r"[^\W\d_]{4,10}"
-PAGE = re.compile(rf"(?i)^\W*(?:{PAGE_WORD}\.?\s*)?(\d{{1,4}}|[lIoO0-9]{{1,4}})(?:\s*(?:/|of|von|de|sur)\s*\d{{1,5}})?\W*$")
+PAGE = re.compile(rf"(?i)^(?=.*\d)\W*(?:{PAGE_WORD}\.?\s*)?(\d{{1,4}}|[lIoO0-9]{{1,4}})(?:\s*(?:/|of|von|de|sur)\s*\d{{1,5}})?\W*$")
 BARE = re.compile(r"^\d{1,4}$")
 WITH_NUMBER = re.compile(r"^\S.{1,70}?\s{3,}[0-9lIoOsSgiz]{1,4}$|^\d{1,4}\s{3,}\S.{1,70}$")
 NUMBERED = re.compile(rf"^{CHAPTER} [0-9lIoOsSgiz]{{1,3}}\s{{2,}}\S.{{0,60}}$")
@@ -51,7 +51,7 @@ def _furniture(lines: list[str], pages: set[int]) -> list[bool]:
     flags = []
     for i, raw in enumerate(lines):
         s = raw.strip()
-        if not s or s[0] in "•*(" and s[0] != "(" or len(s) > 80:
+        if not s or s[0] in "•*" or len(s) > 80:
             flags.append(False)
             continue
         m = PAGE.match(s)
