@@ -62,6 +62,12 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFram
     return top_k(out, k)
 
 
+def _by_node(df: DataFrame) -> DataFrame:
+    """Rows of one document together: counts by term and sums by query then need no further shuffle where the queries' terms
+    are few enough to be broadcast. The number of partitions is fixed, as small rows meet many queries in the joins after."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node_id")
+
+
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, term), each term once."""
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
@@ -78,19 +84,22 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5
     if not head["n"]:
         return docs.sparkSession.createDataFrame([], "query_id long, node_id long, score double, rank int")
     terms = query_terms(queries)
-    post = words.select("node_id", "dl", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
+    hits = words.select("node_id", "dl", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    post = _by_node(hits).groupBy("node_id", "dl", "term").agg(F.count("*").alias("tf"))
     idf = post.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (F.lit(head["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / head["a"]))
-    hit = post.join(idf, "term").join(terms, "term")
+    hit = post.join(terms.join(idf, "term"), "term")
     return top_k(hit.groupBy("query_id", "node_id").agg(F.round(F.sum(weight), 6).alias("score")), k)
 
 
 def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, node_id, score, rank) by the dot product of sparse vectors (id, term, weight); of a term that an id has
     several times the greatest positive weight counts."""
-    pool = lambda d, i: d.where("weight > 0").groupBy(i, "term").agg(F.max("weight").alias("weight"))
-    q, d = pool(queries, "query_id").withColumnRenamed("weight", "wq"), pool(docs, "node_id").withColumnRenamed("weight", "wd")
-    return top_k(q.join(d, "term").groupBy("query_id", "node_id").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("score")), k)
+    pool = lambda d, *keys: d.where("weight > 0").groupBy(*keys, "term").agg(F.max("weight").alias("weight"))
+    q = pool(queries, "query_id").withColumnRenamed("weight", "wq")
+    some = docs.join(q.select("term").distinct(), "term", "left_semi")
+    d = pool(_by_node(some), "node_id").withColumnRenamed("weight", "wd")
+    return top_k(d.join(q, "term").groupBy("query_id", "node_id").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("score")), k)
 
 
 def _scaled(hits: DataFrame, name: str) -> DataFrame:
