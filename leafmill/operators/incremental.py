@@ -24,10 +24,11 @@ def observed(observations: DataFrame) -> DataFrame:
     return observations.select("source", "blob_id", "seen_at", h.alias("file_hash")).where("source is not null and blob_id is not null and file_hash is not null and seen_at is not null")
 
 
-def newest(said: DataFrame) -> DataFrame:
-    """The latest of each source: the greatest seen_at, whenever it landed; equal times go to the greater blob_id."""
-    last = said.groupBy("source").agg(F.max(F.struct("seen_at", "blob_id", "file_hash")).alias("last"))
-    return last.select("source", "last.blob_id", "last.seen_at", "last.file_hash")
+def newest(said: DataFrame, *extra: str) -> DataFrame:
+    """The latest of each source: the greatest seen_at, whenever it landed; equal times go to the greater blob_id. `extra`
+    columns are kept."""
+    last = said.groupBy("source").agg(F.max(F.struct("seen_at", "blob_id", "file_hash", *extra)).alias("last"))
+    return last.select("source", "last.blob_id", "last.seen_at", "last.file_hash", *(f"last.{c}" for c in extra))
 
 
 def current_state(observations: DataFrame) -> DataFrame:
@@ -123,6 +124,26 @@ class IncrementalSync:
             inside = inside | (m if start is None else m & (o > start))
         return log.where(F.col(self.key).isNotNull() & inside).dropDuplicates([self.key, self.offset])
 
+    def append(self, rows: DataFrame) -> DataFrame | None:
+        """Keeps a log below the root for rows that come in no order: those it does not hold yet get offsets above all earlier
+        ones. Gives the log, or None while it is empty. An append without its success mark is written anew."""
+        held = []
+        while self._fs.exists(self._path(f"{self.root}/log/{len(held)}/_SUCCESS")):
+            held.append(f"{self.root}/log/{len(held)}")
+        if not held and self._batches():
+            raise ValueError(f"{self.root} has batches of another log")
+        rows, after = rows.distinct(), 0
+        if held:
+            old = self.spark.read.parquet(*held)
+            rows, after = rows.join(old, rows.columns, "left_anti"), old.agg(F.max(self.offset)).head()[0] + 1
+        to = f"{self.root}/log/{len(held)}"
+        rows.withColumn(self.offset, F.monotonically_increasing_id() + after).write.mode("overwrite").parquet(to)
+        if self.spark.read.parquet(to).isEmpty():
+            self._fs.delete(self._path(to), True)
+        else:
+            held.append(to)
+        return self.spark.read.parquet(*held) if held else None
+
     def sink(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/sink")
 
@@ -149,11 +170,15 @@ def capture(spark: SparkSession, root: str, observations: DataFrame, partitions:
     """(source, blob_id, seen_at, file_hash): brings the log kept below `root` up to the observations and gives the latest one
     of every source.
 
-    Batches go by the offsets of their partitions, so only rows that came since the last call are read; each leaves the
-    newest observation of its sources in the sink. A call that failed is taken up where its plan was written.
+    Observations land in no order of blob_id or time, so each gets its offset when it is first met: a call compares all of
+    them with the log, and appends and processes only those that the log does not hold. Every batch leaves the newest
+    observation of its sources in the sink. A call that failed is taken up where its plan was written.
     """
     said = observed(observations)
-    sync = IncrementalSync(spark, root, "source", "blob_id", partitions)
-    while sync.run(said, newest):
+    sync = IncrementalSync(spark, root, "source", "arrival", partitions)
+    log = sync.append(said)
+    if log is None:
+        return newest(said)
+    while sync.run(log, lambda df: newest(df, "arrival")):
         pass
-    return newest(sync.sink()) if sync._batches() else newest(said)
+    return newest(sync.sink())

@@ -241,6 +241,19 @@ def test_capture_in_steps(spark, tmp_path):
     assert spark.read.parquet(f"{root}/sink").count() <= 3 * 9
 
 
+def test_capture_in_landing_order(spark, tmp_path):
+    """Rows that land late have blob_ids below those of rows captured before."""
+    blobs = spark.read.parquet("/root/testdata/sf0.01/blobs.parquet")
+    cuts = blobs.selectExpr("percentile(unix_micros(cast(landed_at as timestamp)), array(0.25, 0.5, 0.9, 1.0)) as c").head().c
+    root, seen = str(tmp_path / "log"), 0
+    for c in cuts:
+        part = blobs.where(F.expr("unix_micros(cast(landed_at as timestamp))") <= c)
+        got = {(x.source, x.file_hash) for x in capture(spark, root, part, 4).collect()}
+        assert got == {(x.source, x.file_hash) for x in current_state(part).collect()}
+        assert part.count() > seen  # every step adds rows
+        seen = part.count()
+
+
 class Boom(Exception):
     pass
 
