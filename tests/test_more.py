@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import elements as EL, records as RC, spans as SP
 from leafmill.operators import layout as L
+from leafmill.plans.registry import QUERIES
 
 
 def one(spark, column, **values):
@@ -90,3 +91,8 @@ def test_layout_more(spark):
     dots = spark.createDataFrame([(1, 1, i, 0.0, 1.0, 0.0, 1.0, "text", f"Part {i} ......... {i}", 1.0) for i in range(5)], BOX)
     assert L.contents_pages(dots).count() == 1 and L.contents_pages(b).count() == 0
     assert {r.text for r in L.confident(b).collect()} == {"a", "b", ""}
+
+
+def test_prefixes_of_all_names(spark, sf):
+    named = spark.read.parquet(f"{sf}/customer.parquet").where("c_name <> ''").select("c_custkey").distinct()
+    assert QUERIES["name_prefixes"](spark, sf).select("c_custkey").distinct().count() == named.count() > 0
