@@ -134,11 +134,11 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, tokens(text))) / F.size(q), 6)).otherwise(0.0)
 
 
-def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 5, scorer=overlap_score, most_chars: int = 1500) -> DataFrame:
-    """The n best hits of each query by `scorer(query, text)` over the first characters of the text; a score that could not
-    be had is 0, and hits of no query text keep their order."""
+def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 5, scorer=overlap_score, most_chars: int | None = None) -> DataFrame:
+    """The n best hits of each query by `scorer(query, text)` over the whole text, or its first `most_chars` for scorers that
+    build a model prompt; a score that could not be had is 0, and hits of no query text keep their order."""
     q = queries.select("query_id", F.col("text").alias("__q"))
-    t = docs.select("node_id", F.substring("text", 1, most_chars).alias("__t"))
+    t = docs.select("node_id", (F.col("text") if most_chars is None else F.substring("text", 1, most_chars)).alias("__t"))
     scored = hits.select("query_id", "node_id", F.col("rank").alias("__r")).join(q, "query_id", "left").join(t, "node_id", "left").withColumn("score", F.coalesce(scorer(F.col("__q"), F.col("__t")), F.lit(0.0)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "__r", "node_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "node_id", "score", "rank")

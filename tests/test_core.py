@@ -315,6 +315,14 @@ def test_answers(spark):
     assert [x.node_id for x in R.rerank(h, q, docs).orderBy("rank").collect()] == [1, 2]
 
 
+def test_rerank_reads_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "d", "red"), (2, "d", "pad " * 500 + "red fox")], "node_id long, doc_id string, text string")
+    q = spark.createDataFrame([(1, "red fox")], "query_id long, text string")
+    h = hits(spark, [(1, 1, 2.0, 1), (1, 2, 1.0, 2)])
+    assert [(x.node_id, x.score) for x in R.rerank(h, q, docs).orderBy("rank").collect()] == [(2, 1.0), (1, 0.5)]
+    assert [x.node_id for x in R.rerank(h, q, docs, most_chars=1500).orderBy("rank").collect()] == [1, 2]
+
+
 def test_pipeline_and_engine(spark, tmp_path):
     d = tmp_path / "docs"
     d.mkdir()
