@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from leafmill.functions import cells as K, chunk as C, elements as EL, parse as P, records as RC, spans as SP, text as T
 from leafmill.operators import cache, encode as E, index as I, layout as L, retrieve as R, sections as S
@@ -600,8 +600,10 @@ def suppressed_boxes(spark, sf):
     select doc_id, row_number() over (partition by doc_id order by first) as section, title, first_page, last_page, blocks from g
 """)
 def page_sections(spark, sf):
+    """Every node names its section; the first of each stretch under one name has the title."""
     n = nodes(spark, sf, "doc_id", "page", "section_header").where("page is not null").withColumnRenamed("node_no", "block_no")
-    return L.page_sections(n.withColumn("title", F.when(F.col("block_no") % 5 == 0, F.col("section_header"))))
+    before = F.last("section_header", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1))
+    return L.page_sections(n.withColumn("title", F.when(~F.col("section_header").eqNullSafe(before), F.col("section_header"))))
 
 
 @query(f"""with {_BOX}, {_REGIONS} select doc_id, page, box_id from bx l where not exists (select 1 from rg r where r.doc_id = l.doc_id and r.page = l.page and r.kind = 'table' and {_OVER} > 0.6 * ((l.x1 - l.x0) * (l.bottom - l.top)))""")

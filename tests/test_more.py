@@ -96,3 +96,10 @@ def test_layout_more(spark):
 def test_prefixes_of_all_names(spark, sf):
     named = spark.read.parquet(f"{sf}/customer.parquet").where("c_name <> ''").select("c_custkey").distinct()
     assert QUERIES["name_prefixes"](spark, sf).select("c_custkey").distinct().count() == named.count() > 0
+
+
+def test_page_sections_have_all_titles(spark, sf):
+    n = spark.read.parquet(f"{sf}/text_nodes.parquet").where("page is not null and section_header is not null")
+    want = {tuple(r) for r in n.select("doc_id", "section_header").distinct().collect()}
+    got = {tuple(r) for r in QUERIES["page_sections"](spark, sf).where("title is not null").select("doc_id", "title").distinct().collect()}
+    assert want == got and want
