@@ -156,9 +156,121 @@ def nearest_captions(captions: DataFrame, figures: DataFrame, reach: float = 200
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select(*PAGE, F.col("l_box_id").alias("caption_id"), F.col("r_box_id").alias("figure_id"))
 
 
+LEADERS = r"[·.…]{6,}|(\. ){6,}"
+CONTENTS = r"(contents|目录|目次|tableofcontents|致谢|acknowledge(e?ments?)?)$"
+
+
 def contents_pages(boxes: DataFrame, most: int = 3) -> DataFrame:
     """(doc_id, page) of pages with more than `most` lines of dot leaders: contents, not text."""
-    return boxes.where(F.col("text").rlike(r"[·.…]{6,}|(\. ){6,}")).groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*PAGE)
+    return boxes.where(F.col("text").rlike(LEADERS)).groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*PAGE)
+
+
+def drop_contents(boxes: DataFrame, reach: int = 128, most: int = 3) -> DataFrame:
+    """The boxes without contents and acknowledgements: the box that names them, the first entry after it, and what follows
+    up to the next box within `reach` that begins like that entry (by two words, in other scripts by three characters).
+    Documents without such a box lose their `contents_pages`. From top to bottom in each page."""
+    import re
+
+    import pyarrow as pa
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("page", "top", "x0", "box_id")])
+        texts = [(x or "").strip() for x in t["text"].to_pylist()]
+        keep, i, n, found = [True] * len(texts), 0, len(texts), False
+        while i < n:
+            if not re.match(CONTENTS, re.sub(r"[ \u3000]+", "", texts[i].lower())):
+                i += 1
+                continue
+            words, entry, found = re.match(r"[0-9a-zA-Z :'.-]{5,}", texts[i]), "", True
+            keep[i] = False
+            i += 1
+            while i < n and not entry:
+                entry = " ".join(texts[i].split()[:2]) if words else texts[i][:3]
+                keep[i] = False
+                i += 1
+            end = next((j for j in range(i, min(i + reach, n)) if texts[j].startswith(entry)), i)
+            keep[i:end] = [False] * (end - i)
+            i = end
+        if not found:
+            pages = t["page"].to_pylist()
+            led = [p for p, x in zip(pages, texts) if re.search(LEADERS, x)]
+            gone = {p for p in led if led.count(p) > most}
+            keep = [p not in gone for p in pages]
+        return t.filter(pa.array(keep, pa.bool_()))
+
+    return boxes.groupBy("doc_id").applyInArrow(run, boxes.schema)
+
+
+def align_tables(parts: DataFrame, many: int = 4) -> DataFrame:
+    """Parts (doc_id, page, table_id, label, x0, x1, top, bottom) of recognised tables: rows and headers are widened to the
+    table's mean edges, columns heightened to its median ones; with `many` or fewer of them to the outermost. Nothing shrinks."""
+    w = Window.partitionBy(*PAGE, "table_id")
+    row = F.col("label").rlike("(?s)^.+(row|header)")
+    col = F.col("label") == "table column"
+
+    def edge(of: Column, c: str, usual, few, reach) -> Column:
+        mine = F.when(of, F.col(c))
+        common = F.when(F.count(mine).over(w) > many, usual(mine).over(w)).otherwise(few(mine).over(w))
+        return F.when(of, reach(F.col(c), common)).otherwise(F.col(c))
+
+    return parts.withColumns({
+        "x0": edge(row, "x0", F.avg, F.min, F.least), "x1": edge(row, "x1", F.avg, F.max, F.greatest),
+        "top": edge(col, "top", F.median, F.min, F.least), "bottom": edge(col, "bottom", F.median, F.max, F.greatest),
+    })
+
+
+def continued_tables(tables: DataFrame, most_gap: float = 23.0) -> DataFrame:
+    """Tables (doc_id, page, table_id, x0, top, bottom, page_height, line_height) with whole, the table_id of the first part:
+    one goes on in the next on the following page if no more than `most_gap` lines lie between them."""
+    w = Window.partitionBy("doc_id").orderBy("page", "top", "x0", "table_id")
+    gap = F.lag(F.col("page_height") - F.col("bottom")).over(w) + F.col("top")
+    on = (F.col("page") == F.lag("page").over(w) + 1) & (gap <= most_gap * F.col("line_height"))
+    parts = tables.withColumn("n", F.sum(F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1)).over(w))
+    return parts.withColumn("whole", F.first("table_id").over(Window.partitionBy("doc_id", "n").orderBy("page"))).drop("n")
+
+
+def drop_scraps(boxes: DataFrame, share: float = 0.35, wide: float = 200.0) -> DataFrame:
+    """The boxes (with kind, text, page_width) without scraps: from top to bottom, boxes near each other sideways, or after a
+    title, make a block; it stays if it begins with a title or its mean width is `share` of the page or above `wide`. Boxes of
+    no kind that are neither a third of the page wide nor higher than the page's mean are scraps."""
+    import pyarrow as pa
+
+    from leafmill.functions.spans import is_section_title
+
+    none = F.lit(None).cast("double")
+    titled = F.coalesce(F.col("kind") == "title", F.lit(False)) | F.coalesce(is_section_title(F.col("text"), none, none, none, none), F.lit(False))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("top", "x0", "box_id")])
+        x0, x1, top, bottom, page, kind, title = (t[c].to_pylist() for c in ("x0", "x1", "top", "bottom", "page_width", "kind", "__title"))
+        high = sum(b - a for a, b in zip(top, bottom)) / len(top)
+        useful = [bool(kind[i]) or x1[i] - x0[i] > page[i] / 3 or bottom[i] - top[i] > high for i in range(len(x0))]
+
+        def follows(a: int, b: int) -> bool:
+            aside = min(abs(x1[a] - x0[b]), abs(x0[a] - x1[b]), abs(x0[a] + x1[a] - x0[b] - x1[b]) / 2)
+            return useful[b] and (title[a] or aside < page[a] / 10)
+
+        rest, keep = list(range(len(x0))), []
+        while rest:
+            block, at = [rest.pop(0)], 0
+            if not useful[block[0]]:
+                continue
+            while at is not None:
+                a, start, at = block[-1], at, None
+                for q in range(start, min(start + 19, len(rest))):
+                    b = rest[q]
+                    if not title[a] and (top[b] + bottom[b] - top[a] - bottom[a]) / 2 >= 3 * high and bottom[a] - top[a] < 1.5 * high:
+                        break
+                    if follows(a, b):
+                        at = q
+                        block.append(rest.pop(q))
+                        break
+            mean = sum(x1[i] - x0[i] for i in block) / len(block)
+            if title[block[0]] or mean >= share * page[block[0]] or mean > wide:
+                keep += block
+        return t.drop_columns(["__title"]).take(pa.array(sorted(keep), pa.int64()))
+
+    return boxes.withColumn("__title", titled).groupBy(*PAGE).applyInArrow(run, boxes.schema)
 
 
 def table_cells(boxes: DataFrame, rows: DataFrame, cols: DataFrame, share: float = 0.3) -> DataFrame:

@@ -103,3 +103,34 @@ def test_page_sections_have_all_titles(spark, sf):
     want = {tuple(r) for r in n.select("doc_id", "section_header").distinct().collect()}
     got = {tuple(r) for r in QUERIES["page_sections"](spark, sf).where("title is not null").select("doc_id", "title").distinct().collect()}
     assert want == got and want
+
+
+def test_contents_are_dropped(spark):
+    texts = {1: ["Preface", "Table of Contents", "Chapter 1 Start", "Chapter 2 More", None, "Chapter 1 Start", "Body", "Chapter 2 More"], 2: ["目 录", "", "第一章 甲", "第二章 乙", "第一章 甲", "文"], 3: [f"{i} ........ 3" for i in range(4)] + ["Text"], 4: ["Contents", "Alone"]}
+    rows = [(d, 1 if i < 4 else 2, i, 0.0, float(i), t) for d, ts in texts.items() for i, t in enumerate(ts)]
+    boxes = spark.createDataFrame(rows, "doc_id int, page int, box_id int, x0 double, top double, text string")
+    got = {}
+    for r in L.drop_contents(boxes).orderBy("doc_id", "box_id").collect():
+        got.setdefault(r.doc_id, []).append(r.box_id)
+    assert got == {1: [0, 5, 6, 7], 2: [4, 5], 3: [4]}
+
+
+def test_table_alignment(spark):
+    few = [(1, "table row", 10.0, 90.0, 0.0, 9.0), (1, "table row", 12.0, 95.0, 10.0, 19.0), (1, "table column header", 11.0, 80.0, 0.0, 9.0), (1, "table column", 10.0, 50.0, 2.0, 18.0), (1, "table column", 50.0, 90.0, 1.0, 19.0), (1, "table", 5.0, 99.0, 0.0, 20.0)]
+    many = [(2, "table row", float(x), 100.0, 0.0, 1.0) for x in (0, 0, 0, 0, 10)] + [(2, "table column", 0.0, 1.0, float(y), 50.0) for y in (1, 2, 3, 4, 100)]
+    parts = spark.createDataFrame([(1, 1, i, *r) for i, r in enumerate(few + many)], "doc_id int, page int, n int, table_id int, label string, x0 double, x1 double, top double, bottom double")
+    got = {r.n: (r.x0, r.x1, r.top, r.bottom) for r in L.align_tables(parts).collect()}
+    assert got[1] == (10.0, 95.0, 10.0, 19.0) and got[2] == (10.0, 95.0, 0.0, 9.0) and got[3] == (10.0, 50.0, 1.0, 19.0) and got[5] == (5.0, 99.0, 0.0, 20.0)
+    assert [got[6 + i][0] for i in range(5)] == [0.0, 0.0, 0.0, 0.0, 2.0] and [got[11 + i][2] for i in range(5)] == [1.0, 2.0, 3.0, 3.0, 3.0]
+
+
+def test_tables_over_pages(spark):
+    rows = [(1, 1, 10, 50.0, 780.0), (1, 2, 11, 20.0, 790.0), (1, 3, 12, 30.0, 200.0), (1, 3, 13, 250.0, 300.0), (1, 5, 14, 20.0, 90.0), (2, 1, 20, 10.0, 400.0), (2, 2, 21, 10.0, 90.0)]
+    tables = spark.createDataFrame([(*r[:3], 0.0, *r[3:], 800.0, 10.0) for r in rows], "doc_id int, page int, table_id int, x0 double, top double, bottom double, page_height double, line_height double")
+    assert {r.table_id: r.whole for r in L.continued_tables(tables).collect()} == {10: 10, 11: 10, 12: 10, 13: 13, 14: 14, 20: 20, 21: 21}
+
+
+def test_scraps_are_dropped(spark):
+    rows = [(1, "title", "1.2 Scope", 50.0, 90.0, 0.0), (2, "text", "below it", 50.0, 110.0, 12.0), (3, "text", "wide", 50.0, 300.0, 200.0), (4, "text", "scrap", 500.0, 520.0, 400.0), (5, None, "7", 10.0, 15.0, 500.0)]
+    boxes = spark.createDataFrame([(1, 1, i, k, t, a, b, y, y + 10.0, 600.0) for i, k, t, a, b, y in rows], "doc_id int, page int, box_id int, kind string, text string, x0 double, x1 double, top double, bottom double, page_width double")
+    assert [r.box_id for r in L.drop_scraps(boxes).orderBy("box_id").collect()] == [1, 2, 3]
