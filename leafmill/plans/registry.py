@@ -552,8 +552,8 @@ def _boxes(spark, sf) -> DataFrame:
 
 
 def _regions(spark, sf) -> DataFrame:
-    b = _boxes(spark, sf).where("(box_id div 10) % 8 = 0")
-    return b.select("doc_id", "page", "box_id", (F.col("x0") - 30).alias("x0"), (F.col("x1") + 60).alias("x1"), (F.col("top") - 20).alias("top"), (F.col("bottom") + 40).alias("bottom"), "kind")
+    """A region around every box."""
+    return _boxes(spark, sf).select("doc_id", "page", "box_id", (F.col("x0") - 30).alias("x0"), (F.col("x1") + 60).alias("x1"), (F.col("top") - 20).alias("top"), (F.col("bottom") + 40).alias("bottom"), "kind")
 
 
 @query(f"with {_BOX}, {_REGIONS}, o as (select l.doc_id, l.page, l.box_id as l_box_id, r.box_id as r_box_id, {_OVER} as shared from bx l join rg r on l.doc_id = r.doc_id and l.page = r.page) select * from o where shared > 0")

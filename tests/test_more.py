@@ -134,3 +134,9 @@ def test_scraps_are_dropped(spark):
     rows = [(1, "title", "1.2 Scope", 50.0, 90.0, 0.0), (2, "text", "below it", 50.0, 110.0, 12.0), (3, "text", "wide", 50.0, 300.0, 200.0), (4, "text", "scrap", 500.0, 520.0, 400.0), (5, None, "7", 10.0, 15.0, 500.0)]
     boxes = spark.createDataFrame([(1, 1, i, k, t, a, b, y, y + 10.0, 600.0) for i, k, t, a, b, y in rows], "doc_id int, page int, box_id int, kind string, text string, x0 double, x1 double, top double, bottom double, page_width double")
     assert [r.box_id for r in L.drop_scraps(boxes).orderBy("box_id").collect()] == [1, 2, 3]
+
+
+def test_every_box_is_a_region(spark, sf):
+    boxes = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    assert QUERIES["box_overlaps"](spark, sf).select("r_box_id").distinct().count() == boxes
+    assert QUERIES["region_assignment"](spark, sf).count() == boxes
