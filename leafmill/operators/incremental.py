@@ -1,9 +1,9 @@
 """Processing only new or changed records: log-based change capture with offsets and replayed batch plans.
 
 `pending_changes` compares the log of observations with what successful runs applied. `IncrementalSync` runs batches over
-an append-only log: records belong to partitions by a hash of their key, every partition has an offset up to which it was
-applied, a batch plan (start and end offsets) is written before anything is processed, and the sink drops what it already
-holds by key and offset. A plan without its commit mark is replayed as it was written, so that a failure at any point
+an append-only log in order of arrival: records belong to partitions by a hash of their key, every partition has an offset up
+to which it was applied, a batch plan (start and end offsets) is written before anything is processed, and the sink drops
+what it already holds by key and offset. A plan without its commit mark is replayed as it was written, so that a failure at any point
 neither skips nor repeats a record.
 """
 
@@ -14,14 +14,14 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def observed(observations: DataFrame) -> DataFrame:
-    """(source, blob_id, seen_at, file_hash): what observations say, hashes in lower case.
+def observed(observations: DataFrame, *extra: str) -> DataFrame:
+    """(source, blob_id, seen_at, file_hash) and the `extra` columns: what observations say, hashes in lower case.
 
     The hash is file_hash, or doc_id where that is null; observations without either, and those without a source or a
     time, say nothing.
     """
     h = F.lower(F.coalesce("file_hash", "doc_id"))
-    return observations.select("source", "blob_id", "seen_at", h.alias("file_hash")).where("source is not null and blob_id is not null and file_hash is not null and seen_at is not null")
+    return observations.select("source", "blob_id", "seen_at", h.alias("file_hash"), *extra).where("source is not null and blob_id is not null and file_hash is not null and seen_at is not null")
 
 
 def newest(said: DataFrame, *extra: str) -> DataFrame:
@@ -57,13 +57,19 @@ def pending_changes(observations: DataFrame, log: DataFrame, runs: DataFrame) ->
 class IncrementalSync:
     """Exactly-once batches from an append-only log into a sink below `root`, a folder that all executors share.
 
-    The log has a key column and an increasing offset column. `plan` writes, or finds unfinished, the next batch;
-    `read` gives its records; `apply` writes a result of `read` (with key and offset columns) to the sink; `commit` ends
-    the batch. `run` does all four. Offsets are kept for each of `partitions` hash ranges of the key, a fixed number.
+    The log has a key, an `offset` column that grows in order of arrival (a landing time, or a number given at append), and
+    `ties`, columns that tell rows of one offset apart. `plan` writes, or finds unfinished, the next batch; `read` gives its
+    records; `apply` writes a result of `read` (with key, offset and ties) to the batch's own folder of the sink; `commit`
+    ends the batch. `run` does all four. Offsets are kept for each of `partitions` hash ranges of the key, a fixed number.
+
+    A run reads the log from the smallest offset of its partitions on, a filter that reaches the scan, so that its cost goes
+    by what is new. Rows of exactly the last offset are read once more, since others may arrive under it; the sink holds
+    those it knows by key, offset and ties. Rows without an offset are looked at in every run. A batch that is replayed
+    replaces its own folder, whatever a run that died left there. One run at a time may use a root.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str, offset: str, partitions: int = 16):
-        self.spark, self.root, self.key, self.offset, self.partitions = spark, root.rstrip("/"), key, offset, partitions
+    def __init__(self, spark: SparkSession, root: str, key: str, offset: str, ties: tuple[str, ...] = (), partitions: int = 16):
+        self.spark, self.root, self.key, self.offset, self.ties, self.partitions = spark, root.rstrip("/"), key, offset, tuple(ties), partitions
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -88,97 +94,121 @@ class IncrementalSync:
         finally:
             stream.close()
 
-    def _batches(self) -> list[int]:
-        p = self._path(self.root)
+    def _names(self, folder: str, begin: str, end: str = "") -> list[int]:
+        p = self._path(folder)
         names = [x.getPath().getName() for x in self._fs.listStatus(p)] if self._fs.exists(p) else []
-        return sorted(int(n[5:-5]) for n in names if n.startswith("plan-") and n.endswith(".json"))
-
-    def _part(self):
-        return F.pmod(F.xxhash64(self.key), F.lit(self.partitions)).cast("int")
-
-    def plan(self, log: DataFrame) -> dict | None:
-        """The batch to process: an unfinished one as it was written, else a new one, else None when there is nothing new."""
-        done = self._batches()
+        return sorted(int(n[len(begin) : len(n) - len(end)]) for n in names if n.startswith(begin) and n.endswith(end))
+
+    def _bound(self, log: DataFrame, ends: dict[str, str]):
+        """The partition's offset among `ends`, null for one without."""
+        kind = dict(log.dtypes)[self.offset]
+        p = F.pmod(F.xxhash64(self.key), F.lit(self.partitions)).cast("int")
+        values = {int(k): v for k, v in ends.items() if v is not None}
+        return F.try_element_at(F.create_map(*(F.lit(x).cast(t) for k, v in values.items() for x, t in ((k, "int"), (v, kind)))), p) if values else F.lit(None).cast(kind)
+
+    def _since(self, log: DataFrame, start: dict[str, str]) -> DataFrame:
+        """The log's rows with a key, from the offsets `start` on."""
+        kind, o, rows = dict(log.dtypes)[self.offset], F.col(self.offset), log.where(F.col(self.key).isNotNull())
+        if len(start) == self.partitions:  # a partition that had no row yet has no bound
+            low = log.sparkSession.range(1).select(F.array_min(F.array(*(F.lit(v).cast(kind) for v in start.values()))).cast("string")).head()[0]
+            rows = rows.where((o >= F.lit(low).cast(kind)) | o.isNull())
+        since = self._bound(log, start)
+        return rows.where(o.isNull() | since.isNull() | (o >= since))
+
+    def plan(self, log: DataFrame, process=lambda df: df) -> dict | None:
+        """The batch to process: an unfinished one as it was written, else a new one, else None when there is nothing new: no
+        later offset, and under the offsets read before nothing from which `process` makes rows that the sink lacks."""
+        done = self._names(self.root, "plan-", ".json")
+        start = {}
         if done:
             last = self._read(f"plan-{done[-1]}.json")
             if self._read(f"commit-{done[-1]}.json") is None:
                 return last
             start = last["end"]
-        else:
-            start = {}
-        ends = log.where(F.col(self.key).isNotNull() & F.col(self.offset).isNotNull()).groupBy(self._part().alias("p")).agg(F.max(self.offset).alias("o")).collect()
-        end = dict(start) | {str(r["p"]): r["o"] for r in ends if str(r["p"]) not in start or r["o"] > start[str(r["p"])]}
-        if end == start:
+        new = self._since(log, start)
+        p = F.pmod(F.xxhash64(self.key), F.lit(self.partitions)).cast("int").alias("p")
+        ends = new.where(F.col(self.offset).isNotNull()).groupBy(p).agg(F.max(self.offset).cast("string").alias("o")).collect()
+        batch = {"batch": (done[-1] + 1) if done else 0, "start": start, "end": start | {str(r["p"]): r["o"] for r in ends}}
+        if batch["end"] == start and self._unknown(process(self.read(log, batch)), batch).isEmpty():
             return None
-        batch = {"batch": (done[-1] + 1) if done else 0, "start": start, "end": end}
         self._write(f"plan-{batch['batch']}.json", batch)
         return batch
 
     def read(self, log: DataFrame, batch: dict) -> DataFrame:
-        """The batch's records: those after the start and up to the end of their partition. Rows without key or offset
-        belong to no batch; a row delivered again under the same key and offset comes once."""
-        p, o, inside = self._part(), F.col(self.offset), F.lit(False)
-        for k, end in batch["end"].items():
-            start = batch["start"].get(k)
-            m = (p == int(k)) & (o <= end)
-            inside = inside | (m if start is None else m & (o > start))
-        return log.where(F.col(self.key).isNotNull() & inside).dropDuplicates([self.key, self.offset])
-
-    def append(self, rows: DataFrame) -> DataFrame | None:
-        """Keeps a log below the root for rows that come in no order: those it does not hold yet get offsets above all earlier
-        ones. Gives the log, or None while it is empty. An append without its success mark is written anew."""
-        held = []
-        while self._fs.exists(self._path(f"{self.root}/log/{len(held)}/_SUCCESS")):
-            held.append(f"{self.root}/log/{len(held)}")
-        if not held and self._batches():
-            raise ValueError(f"{self.root} has batches of another log")
-        rows, after = rows.distinct(), 0
-        if held:
-            old = self.spark.read.parquet(*held)
-            rows, after = rows.join(old, rows.columns, "left_anti"), old.agg(F.max(self.offset)).head()[0] + 1
-        to = f"{self.root}/log/{len(held)}"
-        rows.withColumn(self.offset, F.monotonically_increasing_id() + after).write.mode("overwrite").parquet(to)
-        if self.spark.read.parquet(to).isEmpty():
-            self._fs.delete(self._path(to), True)
-        else:
-            held.append(to)
-        return self.spark.read.parquet(*held) if held else None
+        """The batch's records: those from the start to the end of their partition, and those without an offset. Rows without
+        a key belong to no batch; a row delivered again under the same key, offset and ties comes once."""
+        o = F.col(self.offset)
+        rows = self._since(log, batch["start"]).where(o.isNull() | (o <= self._bound(log, batch["end"])))
+        return rows.dropDuplicates([self.key, self.offset, *self.ties])
+
+    def _unknown(self, rows: DataFrame, batch: dict) -> DataFrame:
+        """The rows that no earlier batch wrote. Only rows of a start offset, or of none, can be among those."""
+        held = self._folders(batch["batch"])
+        if not held:
+            return rows
+        names = [self.key, self.offset, *self.ties]
+        old = self._since(self.spark.read.parquet(*held), batch["start"]).select(*(F.col(c).alias(f"__{c}") for c in names))
+        on = F.col(self.key) == F.col(f"__{self.key}")
+        for c in names[1:]:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        return rows.join(old, on, "left_anti")
+
+    def _folders(self, before: int | None = None) -> list[str]:
+        """The sink's folders that hold rows of committed batches, below `before` if given."""
+        sink = f"{self.root}/sink"
+        whole = [n for n in self._names(sink, "upto-") if self._fs.exists(self._path(f"{sink}/upto-{n}"))]
+        base = max(whole, default=-1)
+        parts = [n for n in self._names(sink, "batch-") if n > base and (before is None or n < before)]
+        parts = [n for n in parts if self._read(f"commit-{n}.json") is not None]
+        return ([f"{sink}/upto-{base}"] if whole else []) + [f"{sink}/batch-{n}" for n in parts]
 
     def sink(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/sink")
+        """What all committed batches wrote."""
+        return self.spark.read.parquet(*self._folders())
 
-    def apply(self, rows: DataFrame) -> None:
-        """Appends the rows whose key and offset the sink does not hold."""
-        if self._fs.exists(self._path(f"{self.root}/sink/_SUCCESS")):
-            rows = rows.join(self.sink().select(self.key, self.offset), [self.key, self.offset], "left_anti")
-        rows.write.mode("append").parquet(f"{self.root}/sink")
+    def apply(self, rows: DataFrame, batch: dict) -> None:
+        """Writes the rows whose key, offset and ties no earlier batch wrote, in place of what an earlier try of this one did."""
+        self._unknown(rows, batch).write.mode("overwrite").parquet(f"{self.root}/sink/batch-{batch['batch']}")
 
     def commit(self, batch: dict) -> None:
         if self._read(f"commit-{batch['batch']}.json") is None:
             self._write(f"commit-{batch['batch']}.json", {"batch": batch["batch"]})
 
     def run(self, log: DataFrame, process=lambda df: df) -> dict | None:
-        """One batch from plan to commit; `process` must keep the key and offset columns."""
-        batch = self.plan(log)
+        """One batch from plan to commit; `process` must keep the key, offset and ties columns."""
+        batch = self.plan(log, process)
         if batch is not None:
-            self.apply(process(self.read(log, batch)))
+            self.apply(process(self.read(log, batch)), batch)
             self.commit(batch)
         return batch
 
+    def compact(self, merge, most: int = 16) -> bool:
+        """Merges the sink's folders into one where they are more than `most`; whether it did. `merge` must give rows that
+        stand for all it is given, as the newest of each key do."""
+        folders, last = self._folders(), max(self._names(f"{self.root}/sink", "batch-"), default=-1)
+        if len(folders) <= most or self._read(f"commit-{last}.json") is None:
+            return False
+        tmp, to = f"{self.root}/sink/tmp", f"{self.root}/sink/upto-{last}"
+        merge(self.spark.read.parquet(*folders)).write.mode("overwrite").parquet(tmp)
+        if not self._fs.rename(self._path(tmp), self._path(to)):
+            raise OSError(f"cannot rename to {to}")
+        for f in folders:
+            self._fs.delete(self._path(f), True)
+        return True
+
 
 def capture(spark: SparkSession, root: str, observations: DataFrame, partitions: int = 16) -> DataFrame:
-    """(source, blob_id, seen_at, file_hash): brings the log kept below `root` up to the observations and gives the latest one
+    """(source, blob_id, seen_at, file_hash): brings the state kept below `root` up to the observations and gives the latest one
     of every source.
 
-    Observations land in no order of blob_id or time, so each gets its offset when it is first met: a call compares all of
-    them with the log, and appends and processes only those that the log does not hold. Every batch leaves the newest
-    observation of its sources in the sink. A call that failed is taken up where its plan was written.
+    Observations are taken in order of landed_at, told apart by blob_id, and a call processes those that landed since the last
+    one. Each batch leaves the newest observation of its sources in the sink. A call that failed is taken up where its plan
+    was written.
     """
-    said = observed(observations)
-    sync = IncrementalSync(spark, root, "source", "arrival", partitions)
-    log = sync.append(said)
-    if log is None:
-        return newest(said)
-    while sync.run(log, lambda df: newest(df, "arrival")):
+    sync = IncrementalSync(spark, root, "source", "landed_at", ("blob_id",), partitions)
+    keep = lambda df: newest(df, "landed_at")
+    said = observed(observations, "landed_at")
+    while sync.run(said, keep):
         pass
-    return newest(sync.sink())
+    sync.compact(keep)
+    return newest(sync.sink()) if sync._folders() else newest(said)

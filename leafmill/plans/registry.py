@@ -47,9 +47,12 @@ NODES = "select distinct node_no, {} from text_nodes"
     where now.file_hash is distinct from before.content_hash
 """)
 def p5_found(spark, sf):
-    """Through the change log: offsets a partition, a plan written ahead, a sink without repeats."""
-    now = capture(spark, shared_dir(spark, "sync"), table(spark, sf, "blobs"))
-    return pending(now, applied_state(table(spark, sf, "ingest_log"), table(spark, sf, "sync_runs")))
+    """Through the change log in two calls over one root: what had landed when the last run began, then what landed since."""
+    root, blobs, runs = shared_dir(spark, "sync"), table(spark, sf, "blobs"), table(spark, sf, "sync_runs")
+    last = runs.agg(F.max("started_at").cast("string")).head()[0]
+    if last is not None:
+        capture(spark, root, blobs.where(F.col("landed_at") <= F.lit(last).cast(dict(blobs.dtypes)["landed_at"])))
+    return pending(capture(spark, root, blobs), applied_state(table(spark, sf, "ingest_log"), runs))
 
 
 @query(r"""

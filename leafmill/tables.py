@@ -15,15 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder all executors share.
+    """A fresh path in the folder all executors share, removed when the session's JVM ends.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, as in local tests, it is a
-    temporary folder of this machine, which a local session shares with itself.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local session takes a temporary folder of
+    this machine, which it shares with itself; on a cluster that is an error, as its executors would each see another one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "leafmill-shared")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

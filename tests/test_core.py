@@ -1,3 +1,5 @@
+import re
+
 import json
 import os
 import time
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import cells as K, chunk as C, parse as P, text as T
 from leafmill.operators import cache, encode as E, index as I, layout as L, retrieve as R, sections as S
-from leafmill.operators.incremental import IncrementalSync, capture, current_state, pending_changes
+from leafmill.operators.incremental import IncrementalSync, capture, current_state, newest, pending_changes
 from leafmill.plans.pipeline import IngestionPipeline, QueryEngine, Settings
 from leafmill.sources import files as X
 
@@ -228,49 +230,78 @@ def test_pending_changes(spark):
 
 
 def test_capture_in_steps(spark, tmp_path):
+    """Rows land in any order of blob_id, many at one time, some at none."""
     import random
 
     r = random.Random(4)
-    rows = [(i, f"s{r.randrange(9)}", r.choice(["AA", "bb", None]), r.choice(["cc", None]), r.randrange(12)) for i in range(120)] + [(200, None, "a", None, 1), (201, "s1", "zz", None, None)]
-    df = spark.createDataFrame(rows, "blob_id long, source string, file_hash string, doc_id string, h int").withColumn("seen_at", F.expr("timestamp '2025-01-01' + make_interval(0, 0, 0, 0, h)"))
+    rows = [(i, f"s{r.randrange(9)}", r.choice(["AA", "bb", None]), r.choice(["cc", None]), r.randrange(12), r.choice([*range(10), None])) for i in range(120)]
+    rows += [(200, None, "a", None, 1, 1), (201, "s1", "zz", None, None, 2)]
+    df = spark.createDataFrame(rows, "blob_id long, source string, file_hash string, doc_id string, h int, l int").withColumns({"seen_at": F.expr("timestamp '2025-01-01' + make_interval(0, 0, 0, 0, h)"), "landed_at": F.expr("timestamp '2025-02-01' + make_interval(0, 0, 0, 0, l)")}).cache()
     root = str(tmp_path / "log")
-    for n in (0, 30, 30, 77, 300):
-        part = df.where(F.col("blob_id") < n)
+    for n, half in ((0, 2), (4, 2), (4, 1), (4, 1), (7, 1), (30, 1)):  # of the last landing time the odd half of the rows comes later
+        part = df.where((F.coalesce("l", F.lit(0)) < n) & ((F.lit(half) == 1) | (F.col("blob_id") % 2 == 0) | (F.col("l") < n - 1)))
         got = {(x.source, x.file_hash) for x in capture(spark, root, part, 4).collect()}
         assert got == {(x.source, x.file_hash) for x in current_state(part).collect()}
-    assert spark.read.parquet(f"{root}/sink").count() <= 3 * 9
+    held = [tuple(x) for x in IncrementalSync(spark, root, "source", "landed_at", ("blob_id",), 4).sink().select("source", "landed_at", "blob_id").collect()]
+    assert len(held) == len(set(held))
 
 
-def test_capture_in_landing_order(spark, tmp_path):
-    """Rows that land late have blob_ids below those of rows captured before."""
+@pytest.mark.parametrize("fail_at", [None, "plan", "apply", "commit"])
+def test_capture_in_landing_order(spark, tmp_path, fail_at, monkeypatch):
+    """Rows that land late have blob_ids below those of rows captured before; every second call dies at a step and is repeated."""
     blobs = spark.read.parquet("/root/testdata/sf0.01/blobs.parquet")
     cuts = blobs.selectExpr("percentile(unix_micros(cast(landed_at as timestamp)), array(0.25, 0.5, 0.9, 1.0)) as c").head().c
-    root, seen = str(tmp_path / "log"), 0
-    for c in cuts:
+    root = str(tmp_path / "log")
+    for n, c in enumerate(cuts):
         part = blobs.where(F.expr("unix_micros(cast(landed_at as timestamp))") <= c)
+        if fail_at and n % 2:
+            real = getattr(IncrementalSync, fail_at)
+
+            def dies(self, *args):
+                if fail_at != "commit":
+                    real(self, *args)
+                raise Boom
+
+            with monkeypatch.context() as m, pytest.raises(Boom):
+                m.setattr(IncrementalSync, fail_at, dies)
+                capture(spark, root, part, 4)
         got = {(x.source, x.file_hash) for x in capture(spark, root, part, 4).collect()}
         assert got == {(x.source, x.file_hash) for x in current_state(part).collect()}
-        assert part.count() > seen  # every step adds rows
-        seen = part.count()
+
+
+def test_capture_reads_only_news(spark, tmp_path):
+    rows = lambda days: spark.range(1000).selectExpr("id + %d * 1000 as blob_id" % days, "concat('s', id % 50) as source", "concat('h', id, '-', %d) as file_hash" % days, "string(null) as doc_id", f"timestamp '2025-01-01' + make_interval(0, 0, 0, {days}) as seen_at", f"timestamp '2025-01-01' + make_interval(0, 0, 0, {days}) as landed_at")
+    log, root = str(tmp_path / "in"), str(tmp_path / "log")
+    for d in range(3):
+        rows(d).coalesce(1).write.mode("append").parquet(log)
+        capture(spark, root, spark.read.parquet(log), 2)
+    sync = IncrementalSync(spark, root, "source", "landed_at", ("blob_id",), 2)
+    plan = sync._since(spark.read.parquet(log), sync._read("plan-2.json")["start"])._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[[^\n]*landed_at", plan)
+    before = {tuple(r) for r in capture(spark, root, spark.read.parquet(log), 2).collect()}
+    assert not sync.compact(lambda df: newest(df, "landed_at"), 3) and sync.compact(lambda df: newest(df, "landed_at"), 2) and len(sync._folders()) == 1
+    assert {tuple(r) for r in capture(spark, root, spark.read.parquet(log), 2).collect()} == before
 
 
 class Boom(Exception):
     pass
 
 
-@pytest.mark.parametrize("fail_at", ["planned", "applied", None])
+@pytest.mark.parametrize("fail_at", ["planned", "applied", "torn", None])
 def test_incremental_sync_survives_failures(spark, tmp_path, fail_at):
     root = str(tmp_path / "sync")
     log = spark.createDataFrame([(f"k{i % 7}", i) for i in range(20)] + [("k1", 1), (None, 3)], "key string, off long")
-    sync = IncrementalSync(spark, root, "key", "off", 4)
+    sync = IncrementalSync(spark, root, "key", "off", (), 4)
     if fail_at:
         batch = sync.plan(log)
-        if fail_at == "applied":
-            sync.apply(sync.read(log, batch))
+        if fail_at != "planned":
+            sync.apply(sync.read(log, batch), batch)
+        if fail_at == "torn":  # the append died before its success mark
+            (tmp_path / "sync" / "sink" / "batch-0" / "_SUCCESS").unlink()
         more = log.union(spark.createDataFrame([("k2", 100)], "key string, off long"))
-        assert IncrementalSync(spark, root, "key", "off", 4).plan(more) == batch  # replayed as written
+        assert IncrementalSync(spark, root, "key", "off", (), 4).plan(more) == batch  # replayed as written
         log = more
-    again = IncrementalSync(spark, root, "key", "off", 4)
+    again = IncrementalSync(spark, root, "key", "off", (), 4)
     while again.run(log):
         pass
     rows = [tuple(r) for r in again.sink().collect()]
@@ -278,6 +309,17 @@ def test_incremental_sync_survives_failures(spark, tmp_path, fail_at):
     assert again.run(log) is None
 
 
+def test_shared_folder_is_not_the_machine_s_on_a_cluster(spark):
+    from leafmill.tables import shared_dir
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster, "x")
+
+
 # -- retrieval ------------------------------------------------------------------------------------------------------------
 
 
