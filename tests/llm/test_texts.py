@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm.canonical import canonical_array, look_alike_groups, look_alike_pairs
 from leafmill.llm.encoding import implausibility, restore, restore_encoding
@@ -127,6 +128,38 @@ def test_scan_decoder():
     assert fixed == "The filter reads every node before the manifest splits it. Operators rarely notice transmission of the filter."
 
 
+@pytest.mark.parametrize(
+    ("noisy", "clean"),
+    [
+        ("infor-\nma-\ntion", "information"), ("in- \nfor-\nmation", "information"), ("thenetworksignal", "the network signal"), ("netw0rkis", "network is"),
+        ("retum", "return"), ("inforrnation", "information"), ("sig-\nna1", "signal"), ("Retum", "Return"), ("infor ma tion", "information"), ("signaI_x", "signaI_x"),
+    ],
+)
+def test_scan_lattice(noisy, clean):
+    d = Decoder(frozenset("information the network signal is return".split()))
+    assert repair(noisy, set(), d)[0] == clean
+
+
+def test_scan_headings_need_repetition(spark):
+    """A line that looks like a running header leaves where it comes on two nodes of a document, misread or not."""
+    body = "The filter reads every node before the manifest splits it again here.\nOperators rarely notice the slow transmission of all these many records."
+    rows = [(1, "d", f"A short heading\n{body}"), (2, "e", f"Runn1ng Title\n{body}"), (3, "e", f"Running Title\n{body}"), (4, None, f"Running Title\n{body}")]
+    rows += [(10 + k, "x", "the filter reads every node running title") for k in range(4)]
+    df = spark.createDataFrame([(n, d, t, "a.pdf" if n < 10 else "a.txt", None, None) for n, d, t in rows], "node_no long, doc_id string, text string, file_name string, page int, page_numbers array<int>").withColumn("source", F.col("file_name"))
+    got = {r.node_no: r for r in repair_scans(df).collect()}
+    assert {n: r.furniture for n, r in got.items()} == {1: 0, 2: 1, 3: 1, 4: 0}
+    assert got[1].repaired.startswith("A short heading")
+
+
+def test_scan_decoder_is_linear_in_hostile_words():
+    import time
+
+    d, began = Decoder(frozenset("the network signal".split())), time.time()
+    for t in ("x" * 200_000, "thenetwork" * 5_000, "-\nab" * 20_000, "rnii1l" * 20_000):
+        repair(t, set(), d)
+    assert time.time() - began < 20
+
+
 def test_scan_leaves_clean_pages():
     d = Decoder(frozenset(["words"]))
     for t in ["Lines of a page that are\nonly broken somewhere in\nthe middle of things.", "(1) One thing.\n(2) Other thing.", "x" * 30_000, "", None, "=" * 5000]:
