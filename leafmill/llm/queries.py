@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmill.llm.canonical import canonical_texts, look_alike_groups, look_alike_pairs
 from leafmill.llm.encoding import restore_encoding
-from leafmill.llm.markup import strip_markup
+from leafmill.llm.markup import may_have_markup, strip_markup
 from leafmill.llm.mixing import mix, report
 from leafmill.llm.near_dup import near_duplicate_groups, near_duplicate_pairs
 from leafmill.llm.packing import fill, pack_items
@@ -17,12 +17,16 @@ from leafmill.llm.vector_knn import nearest_vectors
 from leafmill.tables import cut, table
 
 
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    return strip_markup(table(spark, sf, "text_nodes").where(may_have_markup(F.col("text")))).where("pieces > 0")
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return strip_markup(table(spark, sf, "text_nodes")).where("pieces > 0").select("node_no").distinct()
+    return _marked(spark, sf).select("node_no").distinct()
 
 
 def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return strip_markup(table(spark, sf, "text_nodes")).where("pieces > 0").dropDuplicates(["node_no"])
+    return _marked(spark, sf).dropDuplicates(["node_no"])
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

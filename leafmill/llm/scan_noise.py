@@ -367,7 +367,7 @@ def repair_scans(df: DataFrame) -> DataFrame:
     are counted by document; nodes without a document have none that repeat. Null texts are left out.
     """
     known = df.sparkSession.sparkContext.broadcast(frozenset(lexicon(df)))
-    pages = df.where(scanned(df) & F.col("text").isNotNull()).select("node_no", F.col("doc_id").cast("string").alias("doc_id"), "text", "page", "page_numbers")
+    pages = df.where(scanned(df) & F.col("text").isNotNull()).select("node_no", (F.col("doc_id").cast("string") if "doc_id" in df.columns else F.lit(None).cast("string")).alias("doc_id"), "text", "page", "page_numbers")
     lines = pages.mapInArrow(lambda b: _candidates(b, known), "node_no long, doc_id string, key string").where("doc_id is not null and node_no is not null")
     again = lines.groupBy("doc_id", "key").agg(F.min("node_no").alias("a"), F.max("node_no").alias("b")).where("a < b").select("doc_id", "key")
     found = lines.join(again, ["doc_id", "key"], "left_semi").groupBy("node_no").agg(F.collect_set("key").alias("repeated"))
