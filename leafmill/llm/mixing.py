@@ -2,15 +2,16 @@
 
 Every source becomes a stream of blocks of equal size. Block j of a source with share u is released at j / u and due at
 (j + 1) / u; in each slot the released block with the earliest deadline runs, so that at any time every source is within
-one block of its share. The schedule repeats after a bounded number of slots, so it is made once for one period, and a
-document finds its slot from its offset in its source's stream. Offsets are sums by blocks of a hash range, then within it.
+one block of its share. The schedule is made once for a period, in which a source has a whole number of slots; sources too
+small for that share the slots of a bundle, within which they take turns by a schedule of their own, and so on. A document
+finds its slot from its offset in its source's stream. Offsets are sums by blocks of a hash range, then within it.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -25,25 +26,73 @@ class Share:
     share: float
 
 
-def schedule(shares: list[float], slots: int = 1024) -> list[list[int]]:
-    """For each share the slots of one period that it gets; shares sum to 1, each positive one gets at least one slot."""
-    slots = max(slots, min(65_536, math.ceil(2 / min(shares)))) if shares else slots
+def schedule(shares: list[float], slots: int = 65_536) -> list[list[int]]:
+    """For each share the slots of one period that it gets, by earliest deadline first. Shares sum to 1 and get one slot at least."""
+    slots = max(slots, len(shares))
     want = [s * slots for s in shares]
     n = [max(1, int(w)) for w in want]
-    while sum(n) != slots:  # largest remainders
-        up = sum(n) < slots
-        k = max((i for i in range(len(n)) if up or n[i] > 1), key=lambda i: (want[i] - n[i]) if up else (n[i] - want[i]))
-        n[k] += 1 if up else -1
-    rate = [Fraction(k, slots) for k in n]
-    given, out = [0] * len(n), [[] for _ in n]
+    order = sorted(range(len(n)), key=lambda i: n[i] - want[i])  # largest remainders
+    k = 0
+    while (left := slots - sum(n)) != 0:
+        for i in order[k:] if left > 0 else order[::-1]:
+            if left and (left > 0 or n[i] > 1):
+                n[i] += 1 if left > 0 else -1
+                left -= 1 if left > 0 else -1
+    out: list[list[int]] = [[] for _ in n]
+    later = [(0, i) for i in range(len(n))]  # (release, source)
+    ready: list[tuple[int, int]] = []  # (deadline, source)
+    heapq.heapify(later)
     for t in range(slots):
-        ready = [i for i in range(len(n)) if given[i] < n[i] and math.floor(given[i] / rate[i]) <= t]
-        i = min(ready, key=lambda i: (math.ceil((given[i] + 1) / rate[i]), i))
+        while later and later[0][0] <= t:
+            _, i = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(len(out[i]) + 1) * slots // n[i]), i))
+        _, i = heapq.heappop(ready)
         out[i].append(t)
-        given[i] += 1
+        if len(out[i]) < n[i]:
+            heapq.heappush(later, (len(out[i]) * slots // n[i], i))
     return out
 
 
+def levels(shares: dict[str, float], slots: int = 65_536, least: int = 32) -> tuple[list[list[tuple[str, str, int, list[int]]]], dict[str, float]]:
+    """(schedules from the innermost to the outermost, each of (node, parent, period, slots of the node in the parent's period);
+    for the rarest sources, how many slots lie between two of their blocks).
+
+    Sources with fewer than `least` slots are bundled, the smallest first, into nodes that have as many. Those that are too few
+    for a bundle, together below `least` slots, take none: their blocks are put where they are due.
+    """
+    found: dict[int, list] = {}
+
+    def make(members: dict[str, float], parent: str, depth: int) -> dict[str, float]:
+        whole = sum(members.values())
+        size = slots if depth == 0 else max(2 * least, min(slots, 2 * least * len(members)))
+        nodes, bundles, held, rare = {s: u for s, u in members.items() if u / whole * size >= least}, [{}], 0.0, {}
+        for s in sorted(members.keys() - nodes.keys(), key=lambda s: (members[s], s)):
+            bundles[-1][s], held = members[s], held + members[s]
+            if held / whole * size >= least:
+                bundles.append({})
+                held = 0.0
+        *full, rest = bundles
+        if depth == 0:
+            rare = rest
+        elif full:
+            full[-1] |= rest
+        else:
+            nodes |= rest
+        for k, b in enumerate(full):
+            if len(b) == 1:
+                nodes |= b
+            else:
+                nodes[f"{parent}\x00{k}"] = sum(b.values())
+                make(b, f"{parent}\x00{k}", depth + 1)
+        names, all_ = sorted(nodes), sum(nodes.values())
+        pattern = schedule([nodes[s] / all_ for s in names], size)
+        found.setdefault(depth, []).extend((s, parent, sum(map(len, pattern)), p) for s, p in zip(names, pattern))
+        return {s: all_ / u for s, u in rare.items()}
+
+    every = make(shares, "", 0)
+    return [found[d] for d in sorted(found, reverse=True)], every
+
+
 def quotas(targets: list[tuple[str, float, int | None]], sizes: dict[str, int], total: float | None = None) -> list[Share]:
     """The size each source contributes. Sources without documents or weight contribute nothing; the others' weights are
     taken relative to each other. Without `total` the mix is the largest in which all shares are met; with it, a source
@@ -89,18 +138,22 @@ def mix(sizes: DataFrame, targets: DataFrame, rows: int, total: float | None = N
     shares = quotas(listed, totals, total)
     if not shares:
         return spark.createDataFrame([], schema), shares
-    pattern = schedule([s.share for s in shares])
-    period = sum(map(len, pattern))
-    plan = spark.createDataFrame([(s.source, s.size, int(s.quota // s.size), s.quota - (s.quota // s.size) * s.size, p) for s, p in zip(shares, pattern)], "source string, size long, full int, rest double, pattern array<int>")
+    plan = spark.createDataFrame([(s.source, s.size, int(s.quota // s.size), s.quota - (s.quota // s.size) * s.size) for s in shares], "source string, size long, full int, rest double")
     before = per_block.withColumn("base", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source", "r", "base")
     inside = F.sum("tokens").over(Window.partitionBy("source", "r").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
     placed = docs.withColumn("inside", inside).join(before, ["source", "r"]).withColumn("at", F.col("base") + F.col("inside")).join(F.broadcast(plan), "source")
     times = F.col("full") + F.when(F.col("at") + F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0)
-    rows_ = placed.withColumn("times", times).where("times > 0").select("id", "source", "tokens", "at", "size", "pattern", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("repeat"))
-    offset = (F.col("repeat") - 1) * F.col("size") + F.col("at")
-    j = F.floor(F.col("offset") / block)
-    slot = F.floor(j / F.size("pattern")) * period + F.element_at("pattern", (j % F.size("pattern") + 1).cast("int"))
-    return rows_.withColumn("offset", offset).select("id", "source", "repeat", "tokens", slot.cast("long").alias("slot"), F.col("offset").cast("long").alias("offset")), shares
+    rows_ = placed.withColumn("times", times).where("times > 0").select("id", "source", "tokens", "at", "size", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("repeat"))
+    rows_ = rows_.withColumn("offset", (F.col("repeat") - 1) * F.col("size") + F.col("at")).withColumns({"slot": F.floor(F.col("offset") / block), "node": F.col("source")})
+    nested, rare = levels({s.source: s.share for s in shares})
+    every = spark.createDataFrame(list(rare.items()), "source string, every double")
+    rows_ = rows_.join(F.broadcast(every), "source", "left").withColumn("slot", F.when(F.col("every").isNotNull(), F.floor((F.col("slot") + 0.5) * F.col("every"))).otherwise(F.col("slot"))).drop("every")
+    for nodes in nested:
+        size = spark.createDataFrame([(s, p, t, len(x)) for s, p, t, x in nodes], "node string, parent string, period long, n long")
+        turn = spark.createDataFrame([(s, k, v) for s, _, _, x in nodes for k, v in enumerate(x)], "node string, k long, v long")
+        rows_ = rows_.join(F.broadcast(size), "node", "left").withColumn("k", F.col("slot") % F.col("n")).join(F.broadcast(turn), ["node", "k"], "left")
+        rows_ = rows_.withColumns({"slot": F.coalesce(F.floor(F.col("slot") / F.col("n")) * F.col("period") + F.col("v"), F.col("slot")), "node": F.coalesce("parent", "node")}).drop("parent", "period", "n", "k", "v")
+    return rows_.select("id", "source", "repeat", "tokens", F.col("slot").cast("long").alias("slot"), F.col("offset").cast("long").alias("offset")), shares
 
 
 def report(mixed: DataFrame, targets: DataFrame, shares: list[Share]) -> DataFrame:

@@ -1,9 +1,10 @@
 """Filling containers of fixed capacity with whole items: harmonic packing, independently in every worker.
 
-An item of size s is of class k where it fits k, but not k + 1 times into the capacity; class k's containers take k items
-each. Workers share nothing: a worker is a hash range of the items, and only its last container of each class may stay
-open. What a container has left is filled with the largest items of smaller classes that fit. Items above the capacity
-give full containers and a rest, which is packed like any item.
+An item of size s is of class k where it fits k, but not k + 1 times into the capacity. The containers of class k hold k items of
+their class each, no more and no fewer, but for the last one of a worker. What the classes leave open is filled from a
+pool of small items, those of all classes beyond the last one that is packed so; that one is chosen so that the pool suffices,
+and is 1 at least. What is left of the pool makes containers of its own in the same way. Workers share nothing: a
+worker is a hash range of the items. Items above the capacity give full containers and a rest, which is packed like any item.
 """
 
 from __future__ import annotations
@@ -15,26 +16,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
+def last_class(cls: np.ndarray, sizes: np.ndarray, capacity: int) -> int:
+    """The last class whose containers, with those before, leave no more open than the items of later classes hold."""
+    kinds, n = np.unique(cls, return_counts=True)  # ascending
+    total = np.array([sizes[cls == k].sum() for k in kinds])
+    open_ = np.cumsum(-(-n // kinds) * capacity - total)
+    later = total.sum() - np.cumsum(total)
+    fine = kinds[later >= open_]
+    return int(fine.max()) if len(fine) else 1
+
+
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container of each item; sizes from 0 to capacity. Items of size 0 join the first container."""
     out = np.zeros(len(sizes), np.int64)
     order = np.argsort(sizes, kind="stable")
     order = order[sizes[order] > 0]
-    left_size, left_id = sizes[order].tolist(), order.tolist()  # ascending
     bins = 0
-    while left_size:
-        k = capacity // left_size[-1]
-        room = capacity
-        for _ in range(k):
-            if not left_size or capacity // left_size[-1] != k:
-                break
-            room -= left_size.pop()
-            out[left_id.pop()] = bins
-        while room and left_size and left_size[0] <= room:
-            at = bisect_right(left_size, room) - 1
-            room -= left_size.pop(at)
-            out[left_id.pop(at)] = bins
-        bins += 1
+    while len(order):
+        cls = capacity // sizes[order]
+        last = max(int(cls.min()), last_class(cls, sizes[order], capacity))
+        pool = order[cls > last]
+        pool_size, pool_id = sizes[pool].tolist(), pool.tolist()  # ascending
+        for k in np.unique(cls[cls <= last]):
+            own = order[cls == k][::-1]
+            for at in range(0, len(own), k):
+                mine = own[at : at + k]
+                out[mine] = bins
+                room = capacity - int(sizes[mine].sum())
+                while room and pool_size and pool_size[0] <= room:
+                    x = bisect_right(pool_size, room) - 1
+                    room -= pool_size.pop(x)
+                    out[pool_id.pop(x)] = bins
+                bins += 1
+        order = np.array(pool_id, np.int64)
     return out
 
 

@@ -72,8 +72,13 @@ def _sizes(spark: SparkSession, sf: str) -> DataFrame:
     return token_sizes(table(spark, sf, "documents"), "doc_id", "source").withColumnRenamed("doc_id", "id")
 
 
+MOST_CAPACITIES = 10_000
+
+
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
-    capacities = [(r["pack_id"], r["capacity_tokens"]) for r in table(spark, sf, "pack_sizes").orderBy("pack_id").limit(1000).collect()]
+    capacities = [(r["pack_id"], r["capacity_tokens"]) for r in table(spark, sf, "pack_sizes").orderBy("pack_id").limit(MOST_CAPACITIES + 1).collect()]
+    if len(capacities) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
     return pack_items(_sizes(spark, sf).drop("source"), capacities, table(spark, sf, "documents").count())
 
 

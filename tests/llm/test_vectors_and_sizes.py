@@ -109,3 +109,48 @@ def test_tokens_round_trip():
     e = encoder(VOCABULARY)
     for t in ["plain text", "naïve Ünïcode 数据", "", " spaces\n\n and tabs\t", "x" * 20_000]:
         assert e.decode(e.encode_ordinary(t)) == t
+
+
+def test_pack_has_fixed_counts():
+    """Containers of the classes up to the last hold as many items of their class as fit, but for one container a class."""
+    from leafmill.llm.packing import last_class
+
+    r = np.random.default_rng(1)
+    for sizes in (r.integers(1, 2049, 5000), np.minimum(2048, r.lognormal(5, 1, 5000).astype(int) + 1), r.integers(900, 2049, 500), np.full(10, 2048)):
+        b, cls = pack(sizes, 2048), 2048 // sizes
+        last = max(int(cls.min()), last_class(cls, sizes, 2048))
+        assert np.bincount(b, sizes).max() <= 2048
+        for k in np.unique(cls[cls <= last]):
+            per = np.bincount(b[cls == k])
+            assert set(per[per > 0]) <= {k, (cls == k).sum() % k} and (per == k).sum() == (cls == k).sum() // k
+
+
+def test_levels_give_rare_sources_their_due():
+    import time
+
+    from leafmill.llm.mixing import levels
+
+    nested, rare = levels({"a": 1 - 1e-7, "b": 1e-7})
+    assert len(nested) == 1 and nested[0][0][0] == "a" and abs(rare["b"] - 1e7) < 2
+    began = time.time()
+    nested, rare = levels({f"s{k}": 1e-4 for k in range(10_000)})
+    assert time.time() - began < 30 and not rare
+    share = {}
+    for nodes in reversed(nested):
+        share |= {n: len(x) / p * share.get(parent, 1.0) for n, parent, p, x in nodes}
+    assert max(abs(share[f"s{k}"] / 1e-4 - 1) for k in range(10_000)) < 0.05
+
+
+def test_mix_of_rare_and_many_sources(spark):
+    sizes = spark.range(40_000).selectExpr("id", "case when id < 4 then 'rare' when id % 2 = 0 then 'a' else concat('m', id % 300) end as source", "100L as tokens")
+    names = ["rare", "a"] + [f"m{k}" for k in range(1, 300, 2)]
+    targets = spark.createDataFrame([(n, {"rare": 0.005, "a": 50.0}.get(n, 1 / 3), 2) for n in names], "source string, weight double, max_repeats int")
+    mixed, shares = mix(sizes, targets, 40_000, block=100)
+    rows = mixed.orderBy("slot", "source", "offset").collect()
+    got = {s.source: s.share for s in shares}
+    seen: dict = {}
+    for n, r in enumerate(rows, 1):
+        seen[r.source] = seen.get(r.source, 0) + 1
+        if n % 500 == 0:
+            assert all(abs(seen.get(s, 0) - n * u) < 3 for s, u in got.items())
+    assert len({(r.id, r.repeat) for r in rows}) == len(rows)
