@@ -15,7 +15,7 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Letters beyond ASCII of the Latin-script languages expected here, and pairs of them that are usual.
 LETTERS = set("äöüßÄÖÜẞéèêëàâçîïôûùœæÿñáíóúÉÈÊËÀÂÇÎÏÔÛÙŒÆÑÁÍÓÚ")
@@ -207,18 +207,18 @@ def implausibility(s: str) -> float:
 
 
 PRICE = {"utf8": 0.4, "unescape": 0.4, "wide": 0.8, "swap": 1.2}  # of an operation; more of a rarer one
-MOST = 24  # states a search may expand
+CHEAPEST = min(PRICE.values())
 
 
-def _moves(s: str, first: tuple | None, depth: int):
+def _moves(s: str, first: tuple | None, swaps: bool):
     kinds = {_kind(c) for c in set(s) if c > "\x7f"}
     wide = bool(kinds & set("hHJk")) and not kinds & set("cbs")
-    moves = [("utf8", c) for c in BYTE_CODECS] if not wide else []
-    moves += [("wide", c) for c in WIDE_CODECS] if kinds & set("hHJkz") else []
-    if depth == 0:
-        moves += [("swap", x) for x in SWAPS if (x[0] in WIDE_CODECS) == wide]
-    if "&" in s:
-        moves.append(("unescape", None))
+    if swaps:
+        moves = [("swap", x) for x in SWAPS if (x[0] in WIDE_CODECS) == wide]
+    else:
+        moves = [("utf8", c) for c in BYTE_CODECS] if not wide else []
+        moves += [("wide", c) for c in WIDE_CODECS] if kinds & set("hHJkz") else []
+        moves += [("unescape", None)] if "&" in s else []
     if first in moves:
         moves.remove(first)
         moves.insert(0, first)
@@ -233,32 +233,42 @@ def _moves(s: str, first: tuple | None, depth: int):
 
 
 @lru_cache(maxsize=4096)
-def search(s: str, first: tuple | None = None) -> tuple[str, float, float, tuple | None]:
-    """(text, its cost, the cost of `s`, the first move) of the cheapest text reachable from `s`."""
+def search(s: str, first: tuple | None = None) -> tuple[str, float, float, tuple | None, bool]:
+    """(text, its cost, the cost of `s`, the first move, whether a swap and another move led there) of the cheapest text reachable from `s`, prices of moves included.
+
+    The search ends where no open state can lead to a cheaper text, as each move has a price. It is finite: a move that
+    goes on takes a quarter of the cost, a swap half of it, or shortens the text by a tenth. One byte codec is swapped for
+    another in the text as found, and, to go on from there, in every state that no other move makes more plausible.
+    """
     start = implausibility(s)
-    best = (start, s, None)
-    if start <= 0:
-        return s, start, start, None
-    queue, seen, n = [(start, 0, s, None)], {hash(s)}, 0
-    while queue and n < MOST:
-        cost, depth, t, move = heapq.heappop(queue)
-        n += 1
-        if depth >= 3:
+    best = (start, s, None, start, False)
+    queue, seen = [(start, 0.0, s, start, None, False)], {s}
+    while queue:
+        _, paid, t, cost, move, swapped = heapq.heappop(queue)
+        if paid + CHEAPEST >= best[0]:
             continue
-        for m, u in _moves(t, first, depth):
-            if hash(u) in seen or len(u) > 4 * len(s) + 8:
-                continue
-            seen.add(hash(u))
-            c = implausibility(u)
-            price = cost - implausibility(t) + PRICE[m[0]] if n > 1 else PRICE[m[0]]
-            if c + price < best[0]:
-                best = (c + price, u, move or m)
-            if c == 0 and m[0] != "swap":
-                return u, 0.0, start, move or m
-            if c < 4 * start + 20 and m[0] != "swap":
-                heapq.heappush(queue, (c + price, depth + 1, u, move or m))
-    u = best[1]
-    return u, implausibility(u), start, best[2]
+        better = False
+        for swaps in (False, True):
+            if swaps and better and paid:
+                break
+            alone = not better
+            for m, u in _moves(t, first, swaps):
+                price = paid + PRICE[m[0]]
+                if price >= best[0] or u in seen or len(u) > 4 * len(s) + 8:
+                    continue
+                seen.add(u)
+                c = implausibility(u)
+                better |= c < cost
+                chain = swapped or swaps
+                if c + price < best[0]:
+                    best = (c + price, u, move or m, c, chain and paid > 0)
+                if best[0] <= CHEAPEST:
+                    break
+                if alone and c < 0.5 * cost if swaps else c < 0.75 * cost or len(u) < 0.9 * len(t) and c < 1.2 * cost + 2:
+                    heapq.heappush(queue, (c + price, price, u, c, move or m, chain))
+            if best[0] <= CHEAPEST:
+                break
+    return best[1], best[3], start, best[2], best[4]
 
 
 SEGMENT = re.compile(r"[。！？]+|[^\n。！？]*?(?:[.!?](?=\s)|\n|$|(?=[。！？]))\s*", re.S)
@@ -266,35 +276,49 @@ LOST = re.compile("[�\x80-\x9f-]")
 
 
 def restore(text: str | None) -> tuple[str | None, bool]:
-    """(restored text, whether it was garbled). Null stays null. Text with characters that only a wrong decoding leaves
+    """(restored text, whether it was garbled), see `restored`."""
+    return restored(text)[:2]
+
+
+def restored(text: str | None) -> tuple[str | None, bool, float | None]:
+    """(restored text, whether it was garbled, confidence): the share of the garbled sentences' implausibility that is gone, 0
+    where nothing could be restored, null for text that was not garbled. Null stays null. Text with characters that only a wrong decoding leaves
     (replacement and C1 control characters) counts as garbled even where nothing can be restored."""
     if not text or text.isascii() and not REFERENCE.search(text):
-        return text, False
+        return text, False, None
     total = implausibility(text)
     if total < 1.0:
-        return text, False
-    out, garbled, first = [], LOST.search(text) is not None, None
+        return text, False, None
+    out, garbled, first, was, left_over = [], LOST.search(text) is not None, None, 0.0, 0.0
     for m in SEGMENT.finditer(text):
         s = m[0]
         if s.isascii():
             out.append(s)
             continue
-        t, cost, before, move = search(s, first)
-        gain, left = (1.8, 0.25) if move and move[0] == "swap" else (1.2, 0.45)
+        t, cost, before, move, chain = search(s, first)
+        gain, left = (6.0, 0.15) if chain else (1.8, 0.25) if move and move[0] == "swap" else (1.2, 0.45)
         if t != s and before - cost >= gain and cost <= left * before:
             garbled, first = True, move
+            was, left_over = was + before, left_over + cost
             out.append(t)
         else:
+            if LOST.search(s):
+                was, left_over = was + before, left_over + before
             out.append(s)
-    return "".join(out), garbled
+    return "".join(out), garbled, (1 - left_over / was if was else 0.0) if garbled else None
 
 
 def _restore(batches):
     for b in batches:
-        got = [restore(t) for t in b["text"].to_pylist()]
-        yield pa.record_batch({"node_no": b["node_no"], "restored": pa.array([t for t, _ in got], pa.string()), "garbled": pa.array([g for _, g in got], pa.bool_())})
+        got = [restored(t) for t in b["text"].to_pylist()]
+        yield pa.record_batch({"node_no": b["node_no"], "restored": pa.array([t for t, _, _ in got], pa.string()), "garbled": pa.array([g for _, g, _ in got], pa.bool_()), "confidence": pa.array([c for *_, c in got], pa.float64())})
+
+
+def may_be_garbled(text: Column) -> Column:
+    """False only for texts that `restore_encoding` leaves: those of ASCII without character references."""
+    return F.coalesce(text.rlike(r"[^\x00-\x7f]|&[#A-Za-z]"), F.lit(False))
 
 
 def restore_encoding(df: DataFrame) -> DataFrame:
-    """(node_no, restored, garbled) for every row of (node_no, text); null and empty texts are not garbled."""
-    return df.select("node_no", "text").mapInArrow(_restore, "node_no long, restored string, garbled boolean")
+    """(node_no, restored, garbled, confidence) for every row of (node_no, text); null and empty texts are not garbled."""
+    return df.select("node_no", "text").mapInArrow(_restore, "node_no long, restored string, garbled boolean, confidence double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmill.llm.canonical import canonical_texts, look_alike_groups, look_alike_pairs
-from leafmill.llm.encoding import restore_encoding
+from leafmill.llm.encoding import may_be_garbled, restore_encoding
 from leafmill.llm.markup import may_have_markup, strip_markup
 from leafmill.llm.mixing import mix, report
 from leafmill.llm.near_dup import near_duplicate_groups, near_duplicate_pairs
@@ -39,12 +39,16 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.dropDuplicates(["node_no", "piece"])
 
 
+def _garbled(spark: SparkSession, sf: str) -> DataFrame:
+    return restore_encoding(table(spark, sf, "text_nodes").where(may_be_garbled(F.col("text")))).where("garbled")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return restore_encoding(table(spark, sf, "text_nodes")).where("garbled").select("node_no").distinct()
+    return _garbled(spark, sf).select("node_no").distinct()
 
 
 def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
-    return restore_encoding(table(spark, sf, "text_nodes")).where("garbled").dropDuplicates(["node_no"]).select("node_no", "restored")
+    return _garbled(spark, sf).dropDuplicates(["node_no"]).select("node_no", "restored", "confidence")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

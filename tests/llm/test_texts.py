@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm.canonical import canonical_array, look_alike_groups, look_alike_pairs
-from leafmill.llm.encoding import implausibility, restore, restore_encoding
+from leafmill.llm.encoding import implausibility, restore, restored, restore_encoding
 from leafmill.llm.markup import clean_markup, strip_markup
 from leafmill.llm.scan_noise import Decoder, repair, repair_scans
 from leafmill.llm.split import split_oversized, split_text
@@ -86,6 +86,17 @@ def test_markup_keeps_code_and_frame(spark):
     assert sorted((r.node_no, r.pieces > 0) for r in got) == [(1, False), (2, True), (3, False)]
 
 
+def test_encoding_layers_and_confidence():
+    for garbled, text in (
+        ("café et thé".encode("cp1252").decode("cp437").encode().decode("latin-1"), "café et thé"),
+        (GERMAN.encode().decode("cp1252", "ignore").encode().decode("cp1252", "ignore"), None),
+        ("我们发现定时器".encode("gb18030").decode("latin-1"), "我们发现定时器"),
+    ):
+        got, flag, sure = restored(garbled)
+        assert flag and 0.5 < sure <= 1 and text in (None, got)
+    assert restored("lost \ufffd\ufffd text")[1:] == (True, 0.0) and restored("Größe")[2] is None and restored("INSTALAÇÃO E")[1] is False
+
+
 def check_split(text, limit, overlap):
     cuts = split_text(text, limit, overlap)
     assert cuts[0][:2] == (0, 0) and cuts[-1][2] == len(text)
