@@ -17,14 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from leafmill.tables import cut
+
 # Letters of other scripts that are drawn like Latin ones, side by side with these.
 LOOK_ALIKE = dict(
     zip(
-        "АВЕЅЗІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝүѵ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιϲϳ" + "ոօսԼՕՍ",
-        "ABES3IJKMHOPCTYXYGQWaesijopcyxhdqwyv" + "ABEZHIKMNOPTYXovicj" + "nouLOU",
+        "АВЕЅЗІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝүѵ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιϲϳαρυ" + "ոօսԼՕՍ" + "ɑɡ" + "ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ"
+        + "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ" + "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ",
+        "ABES3IJKMHOPCTYXYGQWaesijopcyxhdqwyv" + "ABEZHIKMNOPTYXovicjapu" + "nouLOU" + "ag" + "IVXLCDMivxlcdm"
+        + "ABCDEFGHIJKLMNOPRSTUVWXYZ" + "ABCDEGHJKLMPRSTVWZ",
         strict=True,
     )
-)
+)
 del LOOK_ALIKE["З"], LOOK_ALIKE["ι"]
 # Hyphens, quotes that are one sign in several codes, and signs with two codes.
 SAME = {"‐": "-", "‑": "-", "﹣": "-", "－": "-", "−": "-", "⁃": "-", "˗": "-", "µ": "μ", "Ω": "Ω", "K": "K", "Å": "Å", "∙": "·", "‧": "·", "･": "・", "ſ": "s", "¨": "¨"}
@@ -96,31 +100,42 @@ def fold(points: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def _scripts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whether a code point is a letter, whether it is Cyrillic, the Cyrillic letter drawn like a Latin one)."""
+def _scripts() -> tuple[np.ndarray, list[tuple[np.ndarray, int, np.ndarray]]]:
+    """(whether a code point is a letter; for Cyrillic and Greek: whether it is one of theirs, how many of those a word of
+    theirs has, the letter drawn like a Latin one)."""
     n = 0x2000
     letter = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(n)])
-    back = np.arange(n, dtype=np.uint32)
-    for a, b in LOOK_ALIKE.items():
-        if "А" <= a <= "я":
-            back[ord(b)] = ord(a)
-    back[ord("ë")], back[ord("Ë")] = ord("ё"), ord("Ё")
-    cyrillic = (np.arange(n) >= 0x400) & (np.arange(n) < 0x530)
-    return letter, cyrillic, back
+    found = []
+    for first, last, least in ((0x400, 0x530, 1), (0x370, 0x400, 2)):  # a single Greek letter is a sign, as in units
+        back = np.arange(n, dtype=np.uint32)
+        for a, b in LOOK_ALIKE.items():
+            if first <= ord(a) < last and a in "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯабвгдежзийклмнопрстуфхцчшщъыьэюя" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιαρυ":
+                back[ord(b)] = ord(a)
+        for c in range(first, last):  # letters with marks, by those without
+            d = unicodedata.normalize("NFD", chr(c))
+            latin = unicodedata.normalize("NFC", LOOK_ALIKE.get(d[0], "") + d[1:])
+            if len(d) > 1 and len(latin) == 1 and ord(latin) < n and back[ord(LOOK_ALIKE.get(d[0], "\0"))] == ord(d[0]):
+                back[ord(latin)] = c
+        found.append(((np.arange(n) >= first) & (np.arange(n) < last), least, back))
+    return letter, found
 
 
 def _own_script(p: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Words that hold a letter only Cyrillic has are written in Cyrillic; all others stay Latin. A word that could be either
-    has one form as well, so this keeps equal forms equal."""
-    letter, cyrillic, back = _scripts()
+    """Words that hold a letter only Cyrillic has, or two that only Greek has, are written in that script; all others stay
+    Latin. A word that could be either has one form as well, so this keeps equal forms equal."""
+    letter, scripts = _scripts()
     q = np.minimum(p, len(letter) - 1)
-    c = cyrillic[q] & (p < len(letter))
-    if not c.any():
-        return p
-    is_letter = letter[q] & (p < len(letter))
-    word = np.cumsum(np.concatenate([[True], (is_letter[1:] != is_letter[:-1]) | (row[1:] != row[:-1])])) - 1
-    mixed = np.bincount(word[c], minlength=int(word[-1]) + 1) > 0
-    return np.where(mixed[word] & is_letter, back[q], p)
+    known = p < len(letter)
+    is_letter, word, out = letter[q] & known, None, p
+    for own, least, back in scripts:
+        c = own[q] & known & is_letter
+        if not c.any():
+            continue
+        if word is None:
+            word = np.cumsum(np.concatenate([[True], (is_letter[1:] != is_letter[:-1]) | (row[1:] != row[:-1])])) - 1
+        mixed = np.bincount(word[c], minlength=int(word[-1]) + 1) >= least
+        out = np.where(mixed[word] & is_letter & (out == p), back[q], out)
+    return out
 
 
 def _compose(p: np.ndarray, row: np.ndarray, mark: np.ndarray, keys: np.ndarray, values: np.ndarray):
@@ -216,9 +231,10 @@ def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, c1, c2, t1, t2): hashes of the form and of the text of every distinct record."""
+    """(id, c1, c2, t1, t2): hashes of the form and of the text of every distinct record, kept in the shared folder, so that
+    every text is brought to its form once."""
     rows = canonical_texts(df, id_col, text_col).where("id is not null and text is not null")
-    return rows.select("id", F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(17), "canonical").alias("c2"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2")).distinct()
+    return cut(rows.select("id", F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(17), "canonical").alias("c2"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2")).distinct())
 
 
 def look_alike_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -188,6 +188,13 @@ def canonical(*texts):
     return canonical_array(pa.array(texts, pa.string())).to_pylist()
 
 
+def test_canonical_letters_of_other_scripts():
+    for a, b in [("ɑꓮᏚ", "aAS"), ("Ⅿⅸ", "Mⅸ"), ("ραυ", "pau"), ("ΑΒ", "AB"), ("λόγος", "λόγoς"), ("5 µA", "5 μA")]:
+        x, y = canonical(a, b)
+        assert x == y, (a, b)
+    assert canonical("λόγος") == ["λόγος"] and canonical("μA") == ["μA"] and canonical("a1", "a2")[0] != canonical("a1", "a2")[1]
+
+
 def test_canonical_forms():
     same = [("ＡＢＣ１２３．", "ABC123."), ("conﬁg ﬂow", "config flow"), ("cafe\u0301", "café"), ("a\u200bb\ufeff\u00adc", "abc"), ("a\u00a0b\u2007c\u202fd", "a b c d"), ("well\u2010known\u2011x", "well-known-x"), ("сосо", "coco"), ("Κ\u212a", "KK"), ("\u212b\u2126µ", "Å\u03a9μ"), ("ŕ\u0323", "r\u0323\u0301"), ("한글", "\u1112\u1161\u11ab\u1100\u1173\u11af"), ("вeктор", "вектор")]
     for a, b in same:
