@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from leafmill.tables import cut
+
 
 def row_line(columns: list[str], sheet: str | None = None) -> Column:
     """``header：value`` of the cells that hold something, joined by semicolons; the sheet's name follows unless it is a
@@ -24,11 +26,13 @@ def sheet_chunks(df: DataFrame, order: str, columns: list[str], caption: str, ro
     return n.withColumn("chunk", F.floor(F.col("__n") / rows)).groupBy("chunk").agg(F.concat(F.lit(head), F.array_join(F.transform(lines, lambda x: x["r"]), ""), F.lit("</table>")).alias("html"))
 
 
-def numbered(df: DataFrame, order: str, name: str = "__n", parts: int = 64) -> DataFrame:
-    """The rows numbered from 0 in the order of a numeric column of distinct values: ranges between fixed bounds are counted
-    first, then each range numbers its own rows. Null values come first."""
-    bounds = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 1 / (4 * parts))))
-    part = sum((F.when(F.col(order) >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+def numbered(df: DataFrame, order: str, name: str = "__n", per_part: int = 100_000) -> DataFrame:
+    """The rows numbered from 0 in the order of a numeric column of distinct values: ranges of about `per_part` rows are
+    counted first, then each range numbers its own rows. Null values come first."""
+    parts = min(10_000, max(1, -(-df.count() // per_part)))
+    bounds = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    ends = F.array(*(F.lit(float(b)) for b in bounds)) if bounds else F.array().cast("array<double>")
+    part = F.size(F.filter(ends, lambda b: F.col(order) >= b))
     cut = df.withColumn("__p", part)
     before = cut.groupBy("__p").count().withColumn("__b", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
@@ -46,13 +50,15 @@ def keywords(text: Column, drop: tuple[str, ...] = ()) -> Column:
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, drop))) if drop else F.array_distinct(words)
 
 
-def code_paths(codes: DataFrame, deepest: int = 8) -> DataFrame:
-    """(code, path): names from the root of a table (code, parent, name) down to each code, by repeated joins; codes in a
-    circle or below `deepest` levels end without a root and are left out."""
-    at = codes.where("parent is null").select("code", F.col("name").alias("path"))
+def code_paths(codes: DataFrame, most: int = 64) -> DataFrame:
+    """(code, path): names from the root of a table (code, parent, name) down to each code, by repeated joins as deep as there
+    are codes. Codes in a circle have no root and are left out; more than `most` levels are an error."""
+    at = cut(codes.where("parent is null").select("code", F.col("name").alias("path")))
     out = at
-    for _ in range(deepest - 1):
+    for _ in range(most):
         p = at.select(F.col("code").alias("parent"), F.col("path").alias("above"))
-        at = codes.join(p, "parent").select("code", F.concat_ws(" > ", "above", "name").alias("path"))
+        at = cut(codes.join(p, "parent").select("code", F.concat_ws(" > ", "above", "name").alias("path")))
+        if at.isEmpty():
+            return out
         out = out.unionByName(at)
-    return out
+    raise ValueError(f"codes of more than {most} levels")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from leafmill.operators.runs import SIZE, join_safe, running
+
 PAGE = ["doc_id", "page"]
 # Layout types in the order in which they claim boxes.
 PRIORITY = ["footer", "header", "reference", "figure caption", "table caption", "title", "table", "text", "figure", "equation"]
@@ -53,10 +55,10 @@ def drop_repeated_furniture(boxes: DataFrame, kinds: tuple[str, ...] = ("header"
     return boxes.where(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))).join(gone.select("doc_id", "text"), ["doc_id", "text"], "left_anti")
 
 
-def suppress(boxes: DataFrame, threshold: float = 0.45, plus: float = 1.0, parts: int = 256) -> DataFrame:
+def suppress(boxes: DataFrame, threshold: float = 0.45, plus: float = 1.0, parts: int | None = None) -> DataFrame:
     """Greedy suppression per page and kind: best score first, a box stays unless it overlaps a kept one by more than the
     threshold of their union. Areas count `plus` pixels more on each side. Equal scores go to the smaller box_id. Pages and
-    kinds are worked on in `parts` groups of many; rows without one are left together."""
+    kinds are worked on in `parts` groups of many, by default as many as make about 50,000 boxes each."""
     import numpy as np
     import pyarrow as pa
 
@@ -78,6 +80,7 @@ def suppress(boxes: DataFrame, threshold: float = 0.45, plus: float = 1.0, parts
     kinds = dict(boxes.dtypes)
     cols = [*PAGE, "box_id", "kind", "x0", "x1", "top", "bottom", "score"]
     typed = boxes.select(*PAGE, "box_id", "kind", *(F.col(c).cast("double").alias(c) for c in cols[4:])).withColumn("g", F.xxhash64(*PAGE, "kind"))
+    parts = parts or max(1, -(-boxes.count() // 50_000))
     part = F.pmod("g", F.lit(parts)).cast("int")
     return typed.withColumn("part", part).groupBy("part").applyInArrow(run, ", ".join(f"{c} {kinds[c] if c in cols[:4] else 'double'}" for c in cols))
 
@@ -105,14 +108,15 @@ def merge_regions(regions: DataFrame, most_gap: float = 10.0, least_overlap: flo
     return regions.withColumn("region", n).groupBy(*PAGE, "region").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.count("*").alias("parts"))
 
 
-def page_sections(pages: DataFrame, most_pages: int = 2) -> DataFrame:
+def page_sections(pages: DataFrame, most_pages: int = 2, size: int = SIZE) -> DataFrame:
     """(doc_id, section, title, first_page, last_page, blocks): blocks (doc_id, block_no, page, title or null) in order; a
-    title starts a section, and so does a page that would make it span `most_pages` or more."""
-    w = Window.partitionBy("doc_id").orderBy("block_no")
-    titled = pages.withColumn("t", F.sum(F.when(F.col("title").isNotNull(), 1).otherwise(0)).over(w))
-    start = F.min("page").over(Window.partitionBy("doc_id", "t"))
-    cut = titled.withColumn("p", F.floor((F.col("page") - start) / most_pages))
-    return cut.groupBy("doc_id", "t", "p").agg(F.max("title").alias("title"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("blocks"), F.min("block_no").alias("first")).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("section"), "title", "first_page", "last_page", "blocks")
+    title starts a section, and so does a page that would make it span `most_pages` or more. Long documents are worked on in
+    stretches of `size` blocks."""
+    titled = running(pages.where("block_no is not null"), ["doc_id"], "block_no", {"t": ("sum", F.when(F.col("title").isNotNull(), 1).otherwise(0))}, size=size)
+    start = titled.groupBy("doc_id", "t").agg(F.min("page").alias("start"))
+    cut = join_safe(titled, start, ["doc_id", "t"]).withColumn("p", F.floor((F.col("page") - F.col("start")) / most_pages))
+    parts = cut.groupBy("doc_id", "t", "p").agg(F.max("title").alias("title"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("blocks"), F.min("block_no").alias("first"))
+    return running(parts, ["doc_id"], "first", {"section": ("sum", F.lit(1))}, size=size).select("doc_id", F.col("section").cast("int").alias("section"), "title", "first_page", "last_page", "blocks")
 
 
 def without_contained(blocks: DataFrame, tables: DataFrame, share: float = 0.6) -> DataFrame:
@@ -136,13 +140,13 @@ def reading_order(boxes: DataFrame, step: float = 10.0) -> DataFrame:
     return boxes.select(*PAGE, "box_id", F.row_number().over(w).alias("place"))
 
 
-def columns(boxes: DataFrame, gap: float = 40.0, most: int = 4) -> DataFrame:
-    """The boxes with col, from 0: sorted by their left edge, a gap to the next edge starts a column; what is beyond `most`
-    columns belongs to the last."""
+def columns(boxes: DataFrame, gap: float = 40.0, most: int | None = None) -> DataFrame:
+    """The boxes with col, from 0: sorted by their left edge, a gap to the next edge starts a column. Where `most` is given,
+    what is beyond as many columns belongs to the last."""
     w = Window.partitionBy(*PAGE).orderBy("x0", "box_id")
     jump = F.col("x0") - F.lag("x0").over(w)
     n = F.sum(F.when(jump > gap, 1).otherwise(0)).over(w)
-    return boxes.withColumn("col", F.least(n, F.lit(most - 1)).cast("int"))
+    return boxes.withColumn("col", (n if most is None else F.least(n, F.lit(most - 1))).cast("int"))
 
 
 def nearest_captions(captions: DataFrame, figures: DataFrame, reach: float = 200.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from leafmill.functions import chunk as C, parse as P
 from leafmill.functions.text import content_id
+from leafmill.operators.runs import SIZE, neighbours, running
 
 SECTION = "section_idx int, level int, section_header string, section_path string, text string, images array<string>, title string, canonical_url string, web_meta map<string,string>, error string"
 PARSERS = {".txt": P.parse_text, ".md": P.parse_markdown, ".html": P.parse_html, ".htm": P.parse_html}
@@ -70,21 +71,26 @@ def split_chunks(sections: DataFrame, size: int = 512, overlap: int = 100) -> Da
     return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def link_chunks(chunks: DataFrame) -> DataFrame:
-    """The chunks with prev_id and next_id, their neighbours within the document."""
-    w = Window.partitionBy("doc_id").orderBy("section_idx", "chunk_idx", "node_id")
-    return chunks.withColumn("prev_id", F.lag("node_id").over(w)).withColumn("next_id", F.lead("node_id").over(w))
+def link_chunks(chunks: DataFrame, size: int = SIZE) -> DataFrame:
+    """The chunks with prev_id and next_id, their neighbours within the document. Long documents are worked on in stretches of
+    `size` sections."""
+    return neighbours(chunks, ["doc_id"], "section_idx", "node_id", ("prev_id", "next_id"), ("chunk_idx", "node_id"), size)
 
 
-def breadcrumbs(headings: DataFrame, deepest: int = 8) -> DataFrame:
+def breadcrumbs(headings: DataFrame, deepest: int | None = None, size: int = SIZE) -> DataFrame:
     """(doc_id, k, path) for headings (doc_id, k, level, title) in order k: the titles of the open ancestors and its own.
 
-    Of each level the last heading so far is open unless one of a lower level came after it. Headings of level 0 and those
-    below `deepest` have no path. All frames are running ones, so a document's headings are streamed, never held.
+    Of each level the last heading so far is open unless one of a lower level came after it. Headings of level 0 and of no
+    level have no path. Levels go as deep as there are headings, or to `deepest`; more than 64 are an error.
     """
-    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = headings.where(F.col("level").between(1, deepest)).select("doc_id", "k", "level", "title")
-    for n in range(1, deepest + 1):
-        h = h.withColumn(f"__l{n}", F.last(F.when(F.col("level") == n, F.struct("k", "title")), True).over(w)).withColumn(f"__c{n}", F.max(F.when(F.col("level") < n, F.col("k"))).over(w))
-    part = lambda n: F.when((F.col("level") >= n) & F.col(f"__l{n}").isNotNull() & (F.col(f"__c{n}").isNull() | (F.col(f"__c{n}") < F.col(f"__l{n}.k"))), F.col(f"__l{n}.title"))
-    return h.select("doc_id", "k", F.concat_ws(" > ", *(part(n) for n in range(1, deepest + 1))).alias("path"))
+    h = headings.where("level >= 1").select("doc_id", "k", "level", "title")
+    if deepest is None:
+        deepest = h.agg(F.max("level")).head()[0] or 1
+        if deepest > 64:
+            raise ValueError(f"headings of level {deepest}")
+    h, levels = h.where(F.col("level") <= deepest), range(1, deepest + 1)
+    last = {f"__l{n}": ("last", F.when(F.col("level") == n, F.struct("k", "title"))) for n in levels}
+    cut = {f"__x{n}": ("max", F.when(F.col("level") < n, F.col("k"))) for n in levels}
+    h = running(h, ["doc_id"], "k", last | cut, size=size)
+    part = lambda n: F.when((F.col("level") >= n) & F.col(f"__l{n}").isNotNull() & (F.col(f"__x{n}").isNull() | (F.col(f"__x{n}") < F.col(f"__l{n}.k"))), F.col(f"__l{n}.title"))
+    return h.select("doc_id", "k", F.concat_ws(" > ", *(part(n) for n in levels)).alias("path"))

@@ -246,7 +246,7 @@ def chunk_links(spark, sf):
 
 
 @query("""
-    with h as (select distinct node_no as k, doc_id, level, section_header as title from text_nodes where level between 1 and 8 and section_header is not null),
+    with h as (select distinct node_no as k, doc_id, level, section_header as title from text_nodes where level >= 1 and section_header is not null),
     a as (select x.doc_id, x.k, y.k as yk, y.title from h x join h y on y.doc_id = x.doc_id and y.k <= x.k
         where not exists (select 1 from h z where z.doc_id = x.doc_id and z.k > y.k and z.k <= x.k and z.level <= y.level))
     select doc_id, k, string_agg(title, ' > ' order by yk) as path from a group by doc_id, k
@@ -432,7 +432,7 @@ _SPARSE = f"""
 
 
 def _sparse(spark, sf, k: int) -> DataFrame:
-    return R.sparse_top_k(E.sparse_vectors(_doc_queries(spark, sf), "query_id"), E.sparse_vectors(_corpus(spark, sf)), k)
+    return R.sparse_text_top_k(_doc_queries(spark, sf), _corpus(spark, sf), k)
 
 
 @query(f"with {_SPARSE} select query_id, node_id, score, rank from sp where rank <= 10")
@@ -440,18 +440,32 @@ def sparse_topk(spark, sf):
     return _sparse(spark, sf, 10)
 
 
-_HYBRID = """
-    x as (select query_id, node_id, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0 end as d from bm where rank <= 20 window w as (partition by query_id)),
+_HYBRID = f"""
+    nv as (select node_no, any_value(text) as text, any_value(list_transform(embedding, lambda x: x::double)) as v from text_nodes where len(embedding) = 64
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by node_no),
+    dq as (select q.node_no as query_id, d.node_no as node_id, round(list_cosine_similarity(q.v, d.v), 9) as score from nv q, nv d where q.node_no % 100 = 0),
+    dn as (select *, row_number() over (partition by query_id order by score desc, node_id) as rank from dq),
+    w as (select node_id, term, round(1 + ln(count(*)), 6) as weight from (select node_no as node_id, unnest({_TOK.format('text')}) as term from nv) group by all),
+    sq as (select query_id, term, round(1 + ln(count(*)), 6) as weight from (select node_no as query_id, unnest({_TOK.format(_FIRST)}) as term from nv where node_no % 100 = 0) group by all),
+    ss as (select query_id, node_id, round(sum(w.weight * sq.weight), 6) as score from sq join w using (term) group by all),
+    sp as (select *, row_number() over (partition by query_id order by score desc, node_id) as rank from ss),
+    x as (select query_id, node_id, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0 end as d from dn where rank <= 20 window w as (partition by query_id)),
     y as (select query_id, node_id, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0 end as s from sp where rank <= 20 window w as (partition by query_id)),
     h as (select query_id, node_id, round(0.7 * coalesce(d, 0) + (1 - 0.7) * coalesce(s, 0), 6) as score from x full join y using (query_id, node_id)),
     hy as (select *, row_number() over (partition by query_id order by score desc, node_id) as rank from h)
 """
 
 
-@query(f"with {_BM25}, {_SPARSE}, {_HYBRID} select query_id, node_id, score, rank from hy where rank <= 10")
+@query(f"with {_HYBRID} select query_id, node_id, score, rank from hy where rank <= 10")
 def hybrid_alpha(spark, sf):
-    """Two score lists over the same documents, weighted 0.7 to 0.3 after scaling each to 0..1 within the query."""
-    return R.hybrid(R.bm25_top_k(_doc_queries(spark, sf), _corpus(spark, sf), 20), _sparse(spark, sf, 20), 0.7, 10)
+    """Dense and sparse scores of the nodes, weighted 0.7 to 0.3 after scaling each to 0..1 within the query. Queries are
+    every hundredth node: its embedding, and the first line of its text."""
+    fine = (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    n = nodes(spark, sf, "text", "embedding").where(fine)
+    q, d = n.where("node_no % 100 = 0").withColumn("query_id", F.col("node_no")), n.withColumn("node_id", F.col("node_no"))
+    dense = R.dense_top_k(q.select("query_id", F.col("embedding").alias("v")), d.select("node_id", F.col("embedding").alias("v")), 20)
+    sparse = R.sparse_text_top_k(q.select("query_id", F.regexp_extract("text", r"^[^\n]*", 0).alias("text")), d.select("node_id", "text"), 20)
+    return R.hybrid(dense, sparse, 0.7, 10)
 
 
 _RRF = """
@@ -472,7 +486,7 @@ def rrf_fusion(spark, sf):
 
 _TOP = f"""
     qt as (select doc_id as query_id, list_distinct({_TOK.format(_FIRST)}) as qt from documents where doc_id % 100 = 0 and text is not null),
-    dt as (select doc_id as node_id, {_TOK.format('text[1:1500]')} as dt from documents where text is not null),
+    dt as (select doc_id as node_id, {_TOK.format('text')} as dt from documents where text is not null),
     o as (select rr.query_id, node_id, rr.rank as r, case when len(qt) > 0 then round(len(list_intersect(qt, dt)) / len(qt), 6) else 0.0 end as score from rr join qt using (query_id) join dt using (node_id) where rr.rank <= 10),
     rk as (select query_id, node_id, score, row_number() over (partition by query_id order by score desc, r, node_id) as rank from o)
 """
@@ -510,7 +524,8 @@ def label_hit_rate(spark, sf):
     return per.agg(F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("r").isNotNull(), 1.0).otherwise(0.0)), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
 
 
-@query()
+@query(rf"""with {_BM25}, {_SPARSE}, {_RRF}, {_TOP}, fa as (select query_id, max(case when rank = 1 then node_id end) as best, count(*)::int as n from rk where rank <= 5 group by 1)
+    select query_id, regexp_replace(regexp_extract(text, '(?s)^\s*(.*?(?:。|[.!?！？](?:\s|$)))', 1), '\s$', '') as answer, n as source_count from fa join documents on doc_id = best""")
 def query_answers(spark, sf):
     """Retrieval, fusion, rerank, and an extractive answer with its sources."""
     q, d = _doc_queries(spark, sf), _corpus(spark, sf)
@@ -540,7 +555,7 @@ _BOX = """
         ((l_orderkey * 7 + l_suppkey * 13) % 700)::double as top, ((l_orderkey * 7 + l_suppkey * 13) % 700 + 8 + l_linenumber * 2)::double as bottom,
         case l_suppkey % 4 when 0 then 'text' when 1 then 'title' when 2 then 'header' else 'table' end as kind, (l_shipdate::varchar)[1:7] as text, l_discount as score from li)
 """
-_REGIONS = "rg as (select doc_id, page, box_id, x0 - 30 as x0, x1 + 60 as x1, top - 20 as top, bottom + 40 as bottom, kind from bx where box_id // 10 % 8 = 0)"
+_REGIONS = "rg as (select doc_id, page, box_id, x0 - 30 as x0, x1 + 60 as x1, top - 20 as top, bottom + 40 as bottom, kind from bx)"
 _OVER = "greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.bottom, r.bottom) - greatest(l.top, r.top))"
 
 
@@ -596,7 +611,8 @@ def suppressed_boxes(spark, sf):
 
 
 @query("""
-    with n as (select distinct node_no as block_no, doc_id, page, case when node_no % 5 = 0 then section_header end as title from text_nodes where page is not null),
+    with m as (select distinct node_no as block_no, doc_id, page, section_header from text_nodes where page is not null),
+    n as (select block_no, doc_id, page, case when section_header is not null and section_header is distinct from last_value(section_header ignore nulls) over (partition by doc_id order by block_no rows between unbounded preceding and 1 preceding) then section_header end as title from m),
     t as (select *, sum(case when title is not null then 1 else 0 end) over (partition by doc_id order by block_no) as t from n),
     p as (select *, floor((page - min(page) over (partition by doc_id, t)) / 2) as p from t),
     g as (select doc_id, t, p, max(title) as title, min(page) as first_page, max(page) as last_page, count(*) as blocks, min(block_no) as first from p group by doc_id, t, p)
@@ -621,7 +637,7 @@ def uncovered_boxes(spark, sf):
 
 
 @query(f"""with {_BOX}, j as (select *, x0 - lag(x0) over w as jump from bx window w as (partition by doc_id, page order by x0, box_id)),
-    c as (select *, least(sum(case when jump > 40 then 1 else 0 end) over (partition by doc_id, page order by x0, box_id rows unbounded preceding), 3) as col from j)
+    c as (select *, sum(case when jump > 40 then 1 else 0 end) over (partition by doc_id, page order by x0, box_id rows unbounded preceding) as col from j)
     select doc_id, page, box_id, col::int as col, row_number() over (partition by doc_id, page order by col, floor(top / 10), x0, box_id) as place from c""")
 def reading_order(spark, sf):
     b = L.columns(_boxes(spark, sf))
@@ -723,7 +739,7 @@ def section_titles(spark, sf):
     return n.select("node_no", SP.is_section_title(F.col("section_header"), none, none, none, none).alias("title"))
 
 
-@query("select c_custkey, unnest(list_transform(range(1, least(length(c_name), 20) + 1), lambda k: substring(c_name, 1, k))) as prefix from customer where c_custkey % 10 = 0")
+@query("select c_custkey, unnest(list_transform(range(1, least(length(c_name), 20) + 1), lambda k: substring(c_name, 1, k))) as prefix from customer")
 def name_prefixes(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.explode(RC.prefixes(F.col("c_name"))).alias("prefix"))
 
