@@ -11,6 +11,7 @@ import re
 from html.parser import HTMLParser
 from statistics import median
 
+# How chapter, numbered and Roman headings begin.
 CHAPTER = re.compile(r"第[一二三四五六七八九十\d]+章")
 NUMBERED = re.compile(r"\d+(\.\d+)*\s")
 ROMAN = re.compile(r"[IVXLCDM]+\.\s")
@@ -65,37 +66,39 @@ def threshold(lines: list[str]) -> int:
 
 
 def merge_short_lines(text: str, limit: int | None = None, header=is_header) -> str:
-    """Hard-wrapped lines joined: a line is carried on while it is short and no sentence ends it, or while a hyphen ends it.
-    Fenced code, blank lines, lists, headers and table rows stand alone."""
-    lines = text.split("\n")
-    limit = threshold(lines) if limit is None else limit
-    out, carried, fenced = [], "", False
+    """Hard-wrapped lines joined: a line goes on in the one before where that ends in a hyphen, which leaves, or where the line
+    is short and no sentence ended before it. Fenced code, blank lines, lists, headers and table rows stand alone."""
+    out = []
+    for joins, s in _merges(text.split("\n"), limit, header):
+        if not joins:
+            out.append([s])
+        elif out[-1][-1].endswith("-"):
+            out[-1][-1] = out[-1][-1][:-1] + s
+        else:
+            out[-1] += [" ", s]
+    return re.sub(r"\n\s*\n\s*\n+", "\n\n", "\n".join("".join(x) for x in out)).strip()
 
-    def flush():
-        nonlocal carried
-        if carried:
-            out.append(carried)
-            carried = ""
 
+def _merges(lines: list[str], limit: int | None, header):
+    """(whether the line goes on in the one before, what of it stays) of every line."""
+    limit = threshold(lines) if limit is None else limit
+    fenced, before = False, None  # before: the line before where it may go on
     for line in lines:
-        s = line.strip()
-        if s.startswith("```"):
-            flush()
-            fenced = not fenced
-            out.append(line)
-        elif fenced:
-            out.append(line)
-        elif not s or re.match(r"([-*+•]|\d+[.)])\s", s) or s.startswith("|") or s.startswith("$$") or header(s):
-            flush()
-            out.append(line)
+        s, was, before = line.strip(), before, None
+        if fenced or s.startswith("```"):
+            fenced ^= s.startswith("```")
+            yield False, line.rstrip()
+        elif not s or re.match(r"(\d+\.|[-*+•])\s", s) or s.startswith("|") or header(s):
+            yield False, s
         else:
-            s = carried[:-1] + s if carried.endswith("-") else f"{carried} {s}" if carried else s
-            tail = line.strip()
-            carried = s
-            if not (tail.endswith("-") or len(tail) < max(limit, 1) * 2 and not tail.endswith(TERMINAL)):
-                flush()
-    flush()
-    return "\n".join(out)
+            yield was is not None and (was.endswith("-") or len(s) < limit and not was.endswith(TERMINAL)), s
+            before = s
+
+
+def merged_counts(text: str) -> tuple[int, int]:
+    """(lines that stand alone or begin, lines that go on in the one before)."""
+    joins = [j for j, _ in _merges(text.split("\n"), None, is_header)]
+    return joins.count(False), joins.count(True)
 
 
 def blocks(lines: list[str]):

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leafmill.functions.text import spaced_letters  # noqa: F401  (part of the public surface)
+
 # What names monospace and mathematical fonts, and how section titles begin.
 MONO = r"(?i)mono|courier|consol|menlo|code"
 MATH_FONT = r"(?i)math|symbol|cmmi|cmsy|cmex|euclid"
 TITLE = r"(?i)^(chapter\s+\d+|section\s+\d+|lecture\s+\d+|part\s+[ivx]+|table\s+of\s+contents|references|appendix|\d+(\.\d+)*\s+[\w\s]+|[ivx]+\.\s+[\w\s]+)"
 
 
-def spaced_letters(text: Column) -> Column:
-    """``T h e`` becomes ``The``: white space goes between three and more single letters."""
-    return F.regexp_replace(text, r"(?<=\b[A-Za-z])\s(?=[A-Za-z]\s[A-Za-z]\b)|(?<=\b[A-Za-z]\s[A-Za-z])\s(?=[A-Za-z]\b)", "")
-
-
 def model_answer(text: Column) -> Column:
     """A model's answer without its opening courtesy, fences and quote marks."""
     s = F.regexp_replace(F.trim(text), r"(?i)\A(sure|certainly|of course|here is|here's|okay)[^\n]*[:!.]\s*\n", "")

@@ -126,16 +126,23 @@ def line_lengths(text: Column) -> Column:
     return F.filter(lines, lambda n: n > 0)
 
 
+def spaced_letters(text: Column) -> Column:
+    """``T h e`` becomes ``The``: spaces go between three and more single letters."""
+    return F.regexp_replace(text, r"(?<=\b[A-Za-z]) (?=[A-Za-z]\s[A-Za-z]\b)|(?<=\b[A-Za-z]\s[A-Za-z]) (?=[A-Za-z]\b)", "")
+
+
 def clean_pdf_text(text: Column) -> Column:
-    """Words joined over hyphenated line ends, fragments of inline formulas joined, white space to single spaces."""
-    text = F.regexp_replace(text, r"(\w)-\n(\w)", "$1$2")
+    """Words joined over hyphenated line ends, spaced letters and fragments of inline formulas joined, white space to single
+    spaces."""
+    text = spaced_letters(F.regexp_replace(text, r"(\w)-\n(\w)", "$1$2"))
     text = F.regexp_replace(text, r"\$([A-Za-z])\$\s*\[\s*\$([A-Za-z0-9]+)\$\s*\]", r"\$$1[$2]\$")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def math_delimiters(text: Column) -> Column:
-    r"""``\[..\]`` becomes ``$$..$$`` and ``\(..\)`` becomes ``$..$``."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)\\\[(.*?)\\\]", r"\$\$$1\$\$"), r"(?s)\\\((.*?)\\\)", r"\$$1\$")
+    r"""``\[..\]`` becomes ``$$..$$``, ``\(..\)`` becomes ``$..$``, and ``$..$`` on one line becomes ``$$..$$``."""
+    s = F.regexp_replace(F.regexp_replace(text, r"(?s)\\\[(.*?)\\\]", r"\$\$$1\$\$"), r"(?s)\\\((.*?)\\\)", r"\$$1\$")
+    return F.regexp_replace(s, r"(?<!\$)\$([^\n$]+)\$(?!\$)", r"\$\$$1\$\$")
 
 
 def wrap_latex(text: Column) -> Column:

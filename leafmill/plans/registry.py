@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from leafmill.functions import cells as K, chunk as C, elements as EL, parse as P, records as RC, spans as SP, text as T
-from leafmill.operators import cache, encode as E, index as I, layout as L, retrieve as R, sections as S
+from leafmill.operators import blocks as B, cache, encode as E, index as I, layout as L, retrieve as R, sections as S
 from leafmill.operators.incremental import applied_state, capture, current_state, pending, pending_changes
 from leafmill.sources.files import OFFICE  # noqa: F401  (part of the public surface)
 from leafmill.streaming.ingest import stream_table, upsert_stream
@@ -153,17 +153,21 @@ def markdown_links(spark, sf):
     return n.select("node_no", F.md5(T.without_images(T.anchor_links(F.col("text")))).alias("linkless_md5"))
 
 
-@query(r"""select node_no, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), '\$([A-Za-z])\$\s*\[\s*\$([A-Za-z0-9]+)\$\s*\]', '$\1[\2]$', 'g'), '\s+', ' ', 'g'))) as clean_md5
+@query(r"""select node_no, md5(trim(regexp_replace(regexp_replace(list_reduce(list_prepend(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), list_distinct(regexp_extract_all(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), '\b(?:[A-Za-z]\s){2,}[A-Za-z]\b'))), lambda t, r: replace(t, r, replace(r, ' ', ''))), '\$([A-Za-z])\$\s*\[\s*\$([A-Za-z0-9]+)\$\s*\]', '$\1[\2]$', 'g'), '\s+', ' ', 'g'))) as clean_md5
     from (select distinct node_no, text from text_nodes where file_name like '%.pdf' and text is not null)""")
 def pdf_clean_text(spark, sf):
     n = nodes(spark, sf, "text", "file_name").where(F.col("file_name").endswith(".pdf") & F.col("text").isNotNull())
     return n.select("node_no", F.md5(T.clean_pdf_text(F.col("text"))).alias("clean_md5"))
 
 
-@query(r"""select node_no, md5(regexp_replace(regexp_replace(text, '(?s)\\\[(.*?)\\\]', '$$\1$$', 'g'), '(?s)\\\((.*?)\\\)', '$\1$', 'g')) as math_md5
-    from (select distinct node_no, text from text_nodes where contains(text, '\[') or contains(text, '\('))""")
+_ONE_DOLLAR = "regexp_replace({}, '(^|[^$])\\$([^\\n$]+)\\$($|[^$])', '\\1$$\\2$$\\3', 'g')"
+
+
+@query(r"""with m as (select node_no, regexp_replace(regexp_replace(text, '(?s)\\\[(.*?)\\\]', '$$\1$$', 'g'), '(?s)\\\((.*?)\\\)', '$\1$', 'g') as t
+    from (select distinct node_no, text from text_nodes where contains(text, '\[') or contains(text, '\(') or contains(text, '$')))
+    select node_no, md5(""" + _ONE_DOLLAR.format(_ONE_DOLLAR.format("t")) + r""") as math_md5 from m""")
 def math_delimiters(spark, sf):
-    n = nodes(spark, sf, "text").where(F.col("text").contains("\\[") | F.col("text").contains("\\("))
+    n = nodes(spark, sf, "text").where(F.col("text").contains("\\[") | F.col("text").contains("\\(") | F.col("text").contains("$"))
     return n.select("node_no", F.md5(T.math_delimiters(F.col("text"))).alias("math_md5"))
 
 
@@ -276,13 +280,15 @@ def chunks(spark, sf):
 
 @query()
 def merged_lines(spark, sf):
+    """How many lines of each node stand alone or begin, and how many go on in the one before."""
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.record_batch({"node_no": b["node_no"], "merged": pa.array([P.merge_short_lines(P.clean(t)) for t in b["text"].to_pylist()], pa.string())})
+            counts = [P.merged_counts(P.clean(t)) for t in b["text"].to_pylist()]
+            yield pa.record_batch({"node_no": b["node_no"], "kept_lines": pa.array([k for k, _ in counts], pa.int64()), "joined_lines": pa.array([j for _, j in counts], pa.int64())})
 
-    return nodes(spark, sf, "text").where("text is not null").mapInArrow(run, "node_no long, merged string")
+    return nodes(spark, sf, "text").where("text is not null").mapInArrow(run, "node_no long, kept_lines long, joined_lines long")
 
 
 @query()
@@ -729,14 +735,14 @@ def language_vote(spark, sf):
 
 
 @query(r"""
-    with t as (select distinct node_no, section_header as t from text_nodes where section_header is not null)
-    select node_no, length(t) between 2 and 100 and not regexp_matches(t, '^\d+(\s*[-/]\s*\d+)?$') and (regexp_matches(t, '(?i)^(chapter\s+\d+|section\s+\d+|lecture\s+\d+|part\s+[ivx]+|table\s+of\s+contents|references|appendix|\d+(\.\d+)*\s+[\w\s]+|[ivx]+\.\s+[\w\s]+)')
-        or length(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 4 and upper(regexp_replace(t, '[^A-Za-z]', '', 'g')) = regexp_replace(t, '[^A-Za-z]', '', 'g')) as title from t
+    with t as (select distinct node_no, section_header as t, node_no * 37 % 1000 as y, 10.0 + node_no % 9 as font from text_nodes where section_header is not null),
+    k as (select *, regexp_matches(t, '(?i)^(chapter\s+\d+|section\s+\d+|lecture\s+\d+|part\s+[ivx]+|table\s+of\s+contents|references|appendix|\d+(\.\d+)*\s+[\w\s]+|[ivx]+\.\s+[\w\s]+)') as opens, regexp_replace(t, '[^A-Za-z]', '', 'g') as letters from t)
+    select node_no, length(t) between 2 and 100 and not regexp_matches(t, '^\d+(\s*[-/]\s*\d+)?$') and (opens and y <= 600 and font >= 12 or not opens and length(letters) >= 4 and upper(letters) = letters and y <= 750 and font >= 11 or not opens and font >= 16 and y <= 700) as title from k
 """)
 def section_titles(spark, sf):
     n = nodes(spark, sf, "section_header").where("section_header is not null")
-    none = F.lit(None).cast("double")
-    return n.select("node_no", SP.is_section_title(F.col("section_header"), none, none, none, none).alias("title"))
+    y, font = F.pmod(F.col("node_no") * 37, F.lit(1000)).cast("double"), F.lit(10.0) + F.pmod(F.col("node_no"), F.lit(9))
+    return n.select("node_no", SP.is_section_title(F.col("section_header"), y, font, F.lit(10.0), F.lit(1000.0)).alias("title"))
 
 
 @query("select c_custkey, unnest(list_transform(range(1, least(length(c_name), 20) + 1), lambda k: substring(c_name, 1, k))) as prefix from customer")
@@ -788,3 +794,138 @@ def question_sample(spark, sf):
     """A hundred documents by the hash of their number, each with its first sentence as a question it answers."""
     s = table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"), F.regexp_extract("text", r"^[^.!?。\n]*[.!?。]", 0).alias("question"))
     return s.where("question <> ''").orderBy("h", "doc_id").limit(100).select("doc_id", "question")
+
+
+# -- blocks, nodes and fields ---------------------------------------------------------------------------------------------
+
+
+@query("select node_no, '1-' || len(string_split(text, chr(10))) as line_range from (select distinct node_no, text from text_nodes where text is not null)")
+def line_ranges(spark, sf):
+    return nodes(spark, sf, "text").where("text is not null").select("node_no", B.line_range(F.col("text")).alias("line_range"))
+
+
+@query("""
+    with b as (select distinct source, domain from blobs)
+    select source, domain as given, case when coalesce(domain, '') <> '' then domain when list_has_any(string_split(lower(coalesce(source, '')), '/'), ['http', 'protocol', 'rfc', 'tcp', 'udp', 'ip']) then 'HTTP'
+        when list_contains(string_split(lower(coalesce(source, '')), '/'), 'dsp') then 'DSP' end as domain from b
+""")
+def inferred_domains(spark, sf):
+    b = table(spark, sf, "blobs").select("source", "domain").distinct()
+    return b.select("source", F.col("domain").alias("given"), B.domain_of_pdf(F.col("domain"), F.col("source")).alias("domain"))
+
+
+@query("""
+    select node_no, md5(concat_ws(chr(10), 'file_name: ' || file_name, 'section_path: ' || section_path, 'page: ' || page) || case when coalesce(file_name, section_path, page::varchar) is null then '' else chr(10) || chr(10) end || coalesce(text, '')) as content_md5
+    from (select distinct node_no, file_name, section_path, page, text from text_nodes)
+""")
+def embed_contents(spark, sf):
+    n = nodes(spark, sf, "file_name", "section_path", "page", "text")
+    return n.select("node_no", F.md5(B.embed_content(["file_name", "section_path", "page"])).alias("content_md5"))
+
+
+@query("""
+    with v as (select distinct node_no, doc_id, node_id, md5(coalesce(text, '')) as h from text_nodes),
+    old as (select node_id, min(h) as h from v where node_no % 3 <> 0 group by 1),
+    new as (select node_id, min(case when node_no % 5 = 0 then h || '*' else h end) as h from v where node_no % 7 <> 0 group by 1)
+    select node_id, case when old.node_id is null then 'inserted' when new.node_id is null then 'deleted' when old.h = new.h then 'unchanged' else 'updated' end as change from old full join new using (node_id)
+""")
+def node_changes(spark, sf):
+    """Changes by node instead of by file: a stored state against one in which some nodes are new, gone or rewritten."""
+    v = nodes(spark, sf, "node_id", "text").withColumn("h", F.md5(F.coalesce("text", F.lit(""))))
+    old = v.where("node_no % 3 <> 0").groupBy("node_id").agg(F.min("h").alias("content_hash"))
+    new = v.where("node_no % 7 <> 0").withColumn("h", F.when(F.col("node_no") % 5 == 0, F.concat("h", F.lit("*"))).otherwise(F.col("h"))).groupBy("node_id").agg(F.min("h").alias("content_hash"))
+    return I.changes(old, new, "node_id")
+
+
+@query(r"""
+    with l as (select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then 'image' when 1 then 'table' else 'formula' end as kind, case when min(l_quantity) > 25 then 'part ' || min(l_partkey) end as answer, 'W_N^{' || min(l_suppkey) || '}' as raw from lineitem group by all),
+    c as (select *, case kind when 'image' then coalesce(answer, 'Figure (description unavailable).') when 'table' then coalesce(answer, '') else '$$' || chr(10) || coalesce(answer, raw) || chr(10) || '$$' end as content from l)
+    select l_orderkey * 10 + l_linenumber as block_id, kind, '[IMAGE_BLOCK_' || (l_orderkey * 10 + l_linenumber) || ']' || case when content = '' then '' else chr(10) || content end as text from c
+""")
+def resolved_blocks(spark, sf):
+    """Answers of models put behind the place marks of their blocks, half of which have none."""
+    key, n = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("block_id"), F.col("l_linenumber") % 3
+    line = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_quantity", "l_partkey", "l_suppkey")))
+    items = line.select(key, F.when(n == 0, "image").when(n == 1, "table").otherwise("formula").alias("kind"), F.concat(F.lit("W_N^{"), F.col("l_suppkey"), F.lit("}")).alias("raw_text"))
+    results = line.where("l_quantity > 25").select(key, F.concat(F.lit("part "), F.col("l_partkey")).alias("answer"))
+    return B.resolve_blocks(items, results).select("block_id", "kind", "text")
+
+
+@query(r"""
+    select p_partkey, length(trim(p_brand)) < 3 or p_size / 50 < 0.85 as refined, '$$' || chr(10) || case when length(trim(p_brand)) < 3 or p_size / 50 < 0.85 then '\mathrm{' || p_brand || '}' else p_brand end || chr(10) || '$$' as text from part
+""")
+def formula_readings(spark, sf):
+    """Readings of formulas with a score; unsure ones are read again."""
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("latex"), (F.col("p_size") / 50).alias("score"))
+    return B.read_formulas(p, lambda c: F.concat(F.lit("\\mathrm{"), c, F.lit("}"))).select("p_partkey", "refined", "text")
+
+
+@query(r"""
+    select node_no, regexp_matches(text, '\b([A-Za-z]\s){2,}[A-Za-z]\b') or contains(text, '[IMAGE_BLOCK_') as needed from (select distinct node_no, text from text_nodes where text is not null)
+""")
+def polish_needed(spark, sf):
+    return nodes(spark, sf, "text").where("text is not null").select("node_no", B.needs_polish(F.col("text")).alias("needed"))
+
+
+@query("""
+    with s as (select l_orderkey, l_linenumber as n, l_suppkey % 4 as c, l_discount as p, lag(l_suppkey % 4) over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_discount, l_quantity) as b, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_discount, l_quantity) as k from lineitem),
+    kept as (select * from s where c <> 0 and c is distinct from b)
+    select o.l_orderkey, coalesce(string_agg('abc'[c], '' order by k), '') as text, round(coalesce(avg(p), 0.0), 6) as confidence from (select distinct l_orderkey from lineitem) o left join kept using (l_orderkey) group by 1
+""")
+def ctc_lines(spark, sf):
+    """Best classes of each step, an order's lines, decoded: repeats once, blanks not."""
+    steps = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_discount", "l_quantity")))
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(steps.alias("x")).select("l_orderkey", F.transform("x", lambda x: F.pmod(x["l_suppkey"], F.lit(4))).alias("c"), F.col("x.l_discount").alias("p"))
+    text, sure = B.ctc_text(F.col("c"), F.col("p"), "abc")
+    return o.select("l_orderkey", text.alias("text"), F.round(sure, 6).alias("confidence"))
+
+
+@query("""
+    with c as (select r_regionkey as t, n_nationkey // 5 as row, n_nationkey % 5 as col, n_name as text, n_nationkey < 5 as header from nation join region on true where n_nationkey % 7 <> r_regionkey),
+    g as (select t, row, col, g.text, g.header from c g), w as (select t, count(distinct col) as w from g group by 1),
+    x as (select t, row, dense_rank() over (partition by t order by col) as place, text, header from g),
+    h as (select t, row, sum(header::int) * 2 > count(*) as h from x group by all),
+    l as (select h.t, h.row, string_agg(case when h then '<th>' else '<td>' end || coalesce(x.text, '') || case when h then '</th>' else '</td>' end, '' order by k) as tr from h join w using (t) cross join lateral unnest(range(1, w + 1)) as u(k) left join x on x.t = h.t and x.row = h.row and x.place = k group by all)
+    select t, '<table>' || string_agg('<tr>' || tr || '</tr>', '' order by row) || '</table>' as html from l group by 1
+""")
+def tables_as_html(spark, sf):
+    """Recognised cells, with gaps, as tables: one for each region."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    cells = n.join(F.broadcast(r.select("r_regionkey")), n["n_nationkey"] % 7 != r["r_regionkey"])
+    c = cells.select(F.col("r_regionkey").alias("t"), F.floor(F.col("n_nationkey") / 5).alias("row"), (F.col("n_nationkey") % 5).alias("col"), F.col("n_name").alias("text"), (F.col("n_nationkey") < 5).alias("header"))
+    return B.tables_as_html(c, ["t"])
+
+
+@query("select event_id, coalesce(json_extract_string(props, '$.k'), '') as k, event_type as kind, case when coalesce(json_extract_string(props, '$.missing'), '') <> '' then json_extract_string(props, '$.missing') else json_extract_string(props, '$.k') end as either from events")
+def flat_fields(spark, sf):
+    e = B.flatten(table(spark, sf, "events"), "props", {"k": "k", "either": "missing"}, fallback={"either": "k"})
+    return e.select("event_id", F.coalesce("k", F.lit("")).alias("k"), F.col("event_type").alias("kind"), "either")
+
+
+@query("""
+    select p_partkey, p_size::int as token, round(p_retailprice::float::double, 3) as weight from part where p_retailprice <> 0 and p_size is not null
+""")
+def lexical_weights(spark, sf):
+    """Weights as texts, with what is no number or zero among them."""
+    m = F.create_map(F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), F.lit("word"), F.lit("1.0"), F.lit("-1"), F.lit("0"), F.lit("-2"), F.lit("none"))
+    p = table(spark, sf, "part").where("p_size is not null").select("p_partkey", F.explode(B.lexical_items(m)).alias("token", "weight"))
+    return p.select("p_partkey", "token", F.round(F.col("weight").cast("double"), 3).alias("weight"))
+
+
+_TRIM = r"[\s\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+"
+_STRIPPED = f"regexp_replace(line, '^{_TRIM}|{_TRIM}$', '', 'g')".replace("{{", "{").replace("}}", "}")
+
+SQL["merged_lines"] = rf"""
+    with t as (select node_no, {_CLEAN.format('text')} as text from (select distinct node_no, text from text_nodes where text is not null)),
+    l as (select node_no, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from t),
+    s as (select *, {_STRIPPED} as s from l),
+    c as (select *, greatest(30, least(200, floor(floor(median(case when length(s) > 0 then length(s) end) over (partition by node_no)) * 7 / 10))) as most, starts_with(s, '```') as fence,
+        sum(case when starts_with(s, '```') then 1 else 0 end) over (partition by node_no order by i) as fences from s),
+    k as (select *, not fence and fences % 2 = 0 and s <> '' and not regexp_matches(s, '^([0-9]+\.|[-*+•])\s') and not starts_with(s, '|') and not (regexp_matches(s, '^第[一二三四五六七八九十0-9]+章')
+        or length(s) > 3 and regexp_matches(s, '\p{{Lu}}') and not regexp_matches(s, '[\p{{Ll}}\p{{Lt}}]') or regexp_matches(s, '^[IVXLCDM]+\.\s') or regexp_matches(s, '^#+\s')
+        or length(s) < 50 and regexp_matches(s, '^[0-9]+(\.[0-9]+)*\s') or length(s) < 30 and regexp_matches(s, '^[A-Z]')
+        or length(s) <= 25 and regexp_matches(s, '[一-鿿]') and regexp_matches(s, '^(章|节|部分|小结|概述|前言|后记|目录|摘要)|(章|节|部分|小结|概述|前言|后记|目录|摘要) ')
+        or length(s) <= 25 and regexp_matches(s, '[一-鿿]') and regexp_matches(s, '(主要|功能|特性|方法|结果|讨论|结论)( |$)') and not regexp_matches(s, '[。！？，、；：]')) as prose from c),
+    j as (select *, coalesce(prose and lag(prose) over w and (lag(s) over w like '%-' or length(s) < most and not regexp_matches(lag(s) over w, '[。.!?！？：;；:]$')), false) as joins from k window w as (partition by node_no order by i))
+    select node_no, sum(case when not joins then 1 else 0 end)::bigint as kept_lines, sum(case when joins then 1 else 0 end)::bigint as joined_lines from j group by node_no
+"""

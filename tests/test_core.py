@@ -45,7 +45,7 @@ def test_header_rules(spark, line, header):
 def test_formula_garbled_and_math(spark):
     assert one(spark, T.is_garbled(F.col("t")), t="a" * 30 + "�") and not one(spark, T.is_garbled(F.col("t")), t="fine")
     assert one(spark, T.is_formula(F.col("t")), t="x[n] = 3") and one(spark, T.is_formula(F.col("t")), t="∑ a") and not one(spark, T.is_formula(F.col("t")), t="words only")
-    assert one(spark, T.math_delimiters(F.col("t")), t=r"\[a\] and \(b\)") == "$$a$$ and $b$"
+    assert one(spark, T.math_delimiters(F.col("t")), t=r"\[a\] and \(b\)") == "$$a$$ and $$b$$"
     assert one(spark, T.wrap_latex(F.col("t")), t=r"\frac{a}{b}") == "$$\n\\frac{a}{b}\n$$" and one(spark, T.wrap_latex(F.col("t")), t="|a_1|\n|b|") == "|a_1|\n|b|"
     assert one(spark, T.clean_pdf_text(F.col("t")), t="hyph-\nen  and $x$[$n$]") == "hyphen and $x[n]$"
 
