@@ -10,6 +10,7 @@ from leafmill.functions.text import tokens
 from leafmill.operators import encode as E, retrieve as R, sections as S
 from leafmill.operators.index import ChunkStore, changes, index_stats
 from leafmill.sources.files import as_text, load
+from leafmill.tables import cut
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ class IngestionPipeline:
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), encoder=None):
         self.spark, self.settings, self.encoder = spark, settings, encoder
-        self.store, self.manifest = ChunkStore(spark, f"{root}/chunks"), ChunkStore(spark, f"{root}/manifest")
+        self.store, self.manifest = ChunkStore(spark, f"{root}/chunks"), ChunkStore(spark, f"{root}/manifest", "doc_key")
 
     def blobs(self, path: str) -> DataFrame:
         return load(self.spark, path, self.settings.extensions, recursive=self.settings.recursive)
@@ -50,7 +51,7 @@ class IngestionPipeline:
     def _ingest(self, blobs: DataFrame) -> dict:
         made, errors = self.chunks(blobs)
         self.store.upsert(made)
-        self.manifest.upsert(blobs.select(F.col("source").alias("doc_key"), F.col("doc_id").alias("content_hash")), "doc_key")
+        self.manifest.upsert(blobs.select(F.col("source").alias("doc_key"), F.col("doc_id").alias("content_hash")))
         done = self.store.read().join(blobs.select("doc_id").distinct(), "doc_id", "left_semi")
         s = done.agg(F.count("*").alias("c"), F.sum(F.size(tokens(F.col("text")))).alias("t")).head()
         return {"processed_files": blobs.count(), "generated_chunks": s["c"], "total_tokens": s["t"] or 0, "errors": errors.count()}
@@ -64,7 +65,7 @@ class IngestionPipeline:
             (handler or self._ingest)(blobs)
             return {"inserted": now.count()}
         before = self.manifest.read()
-        diff = changes(before, now).persist()
+        diff = cut(changes(before, now))
         counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
         gone = before.join(diff.where("change in ('deleted', 'updated')"), "doc_key", "left_semi")
         kept = before.join(diff.where("change = 'unchanged'"), "doc_key", "left_semi")
@@ -74,7 +75,6 @@ class IngestionPipeline:
             self.manifest.write(kept)
         if counts.keys() & {"inserted", "updated"}:
             (handler or self._ingest)(blobs.join(diff.where("change in ('inserted', 'updated')").select(F.col("doc_key").alias("source")), "source", "left_semi"))
-        diff.unpersist()
         return counts
 
     def stats(self) -> DataFrame:
@@ -84,20 +84,25 @@ class IngestionPipeline:
 class QueryEngine:
     """Batches of questions against chunks (node_id, doc_id, text, embedding ...): hybrid search, rerank, answer."""
 
-    def __init__(self, chunks: DataFrame, settings: Settings = Settings(), encoder=None, scorer=R.overlap_score, complete=None, where=None):
+    def __init__(self, chunks: DataFrame, settings: Settings = Settings(), encoder=None, scorer=R.overlap_score, complete=None, where=None, chain=()):
         chunks = chunks if where is None else chunks.where(where)
         self.keys = chunks.select("node_id", F.xxhash64("node_id").alias("key"))
         self.docs = chunks.select(F.xxhash64("node_id").alias("node_id"), "doc_id", "text", "embedding")
-        self.settings, self.encoder, self.scorer, self.complete = settings, encoder, scorer, complete
+        self.settings, self.encoder, self.scorer, self.complete, self.chain = settings, encoder, scorer, complete, chain
 
     def retrieve(self, queries: DataFrame) -> DataFrame:
-        """queries: (query_id, text). Hits (query_id, node_id, score, rank) by hashed node ids."""
+        """queries: (query_id, text). Hits (query_id, node_id, score, rank) by hashed node ids, through the chain of
+        post-processors. A search that fails finds nothing, a reranker that fails leaves the fused order; both warn."""
         s = self.settings
-        vectors = E.encode(queries, self.encoder, id_col="query_id").select("query_id", F.col("embedding").alias("v"))
-        dense = R.dense_top_k(vectors, self.docs.where("embedding is not null").select("node_id", F.col("embedding").alias("v")), 2 * s.top_k)
-        sparse = R.bm25_top_k(queries, self.docs, 2 * s.top_k)
-        fused = R.hybrid(dense, sparse, s.alpha, s.top_k)
-        return fused if self.scorer is None else R.rerank(fused, queries, self.docs, s.rerank_n, self.scorer)
+
+        def search() -> DataFrame:
+            vectors = E.encode(queries, self.encoder, id_col="query_id").select("query_id", F.col("embedding").alias("v"))
+            dense = R.dense_top_k(vectors, self.docs.where("embedding is not null").select("node_id", F.col("embedding").alias("v")), 2 * s.top_k)
+            return R.hybrid(dense, R.bm25_top_k(queries, self.docs, 2 * s.top_k), s.alpha, s.top_k)
+
+        hits = R.search_or_none(search, self.docs.sparkSession)
+        hits = hits if self.scorer is None else R.rerank_or_keep(hits, queries, self.docs, s.rerank_n, self.scorer)
+        return R.post_process(hits, queries, self.chain)
 
     def query(self, queries: DataFrame) -> DataFrame:
         """(query_id, prompt, answer, sources)."""

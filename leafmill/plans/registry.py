@@ -365,7 +365,7 @@ def stream_upsert(spark, sf):
     root = shared_dir(spark, "stream")
     s = stream_table(spark, f"{sf}/blobs.parquet").select("source", F.lower(F.coalesce("file_hash", F.lit(""))).alias("file_hash"), "landed_at", F.struct("landed_at", F.lower(F.coalesce("file_hash", F.lit("")))).alias("o"))
     upsert_stream(s, f"{root}/store", "source", "o", f"{root}/checkpoint")
-    return I.ChunkStore(spark, f"{root}/store").read().drop("o")
+    return I.ChunkStore(spark, f"{root}/store", "source").read().drop("o")
 
 
 # -- retrieval ------------------------------------------------------------------------------------------------------------
