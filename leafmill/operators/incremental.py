@@ -10,6 +10,7 @@ neither skips nor repeats a record.
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -110,11 +111,16 @@ class IncrementalSync:
         """The log's rows with a key, from the offsets `start` on."""
         kind, o, rows = dict(log.dtypes)[self.offset], F.col(self.offset), log.where(F.col(self.key).isNotNull())
         if len(start) == self.partitions:  # a partition that had no row yet has no bound
-            low = log.sparkSession.range(1).select(F.array_min(F.array(*(F.lit(v).cast(kind) for v in start.values()))).cast("string")).head()[0]
+            low = min(start.values(), key=str if kind.startswith(("timestamp", "date", "string")) else Decimal)
             rows = rows.where((o >= F.lit(low).cast(kind)) | o.isNull())
         since = self._bound(log, start)
         return rows.where(o.isNull() | since.isNull() | (o >= since))
 
+    def unfinished(self) -> bool:
+        """Whether there is a plan without its commit mark."""
+        done = self._names(self.root, "plan-", ".json")
+        return bool(done) and self._read(f"commit-{done[-1]}.json") is None
+
     def plan(self, log: DataFrame, process=lambda df: df) -> dict | None:
         """The batch to process: an unfinished one as it was written, else a new one, else None when there is nothing new: no
         later offset, and under the offsets read before nothing from which `process` makes rows that the sink lacks."""
@@ -208,7 +214,9 @@ def capture(spark: SparkSession, root: str, observations: DataFrame, partitions:
     sync = IncrementalSync(spark, root, "source", "landed_at", ("blob_id",), partitions)
     keep = lambda df: newest(df, "landed_at")
     said = observed(observations, "landed_at")
-    while sync.run(said, keep):
-        pass
+    unfinished = sync.unfinished()
+    sync.run(said, keep)
+    if unfinished:  # that was the call before; now what landed since
+        sync.run(said, keep)
     sync.compact(keep)
     return newest(sync.sink()) if sync._folders() else newest(said)
